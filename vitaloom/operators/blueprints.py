@@ -13,22 +13,33 @@ from pyspark.sql import functions as F
 from vitaloom import constants as C
 from vitaloom import schemas as S
 from vitaloom.functions import conform, nested
+from vitaloom.functions.remember import remembered
+from vitaloom.functions.rows import keep_where
 from vitaloom.operators.validate import suffix
 
 
 def check_blueprints(payloads: DataFrame, raw: str = "payload") -> DataFrame:
     """Adds `value` (VARIANT) and the `violations` of a blueprint's JSON text."""
     value = conform.parse_json(F.col(raw))
-    return payloads.withColumn("value", value).withColumn(
-        "violations",
-        F.when(F.col("value").isNull(), F.array(F.lit("payload: not JSON"))).otherwise(
-            conform.violations(F.col("value"), conform.BLUEPRINT_SHAPE)
-        ),
+    return payloads.withColumn("value", value).withColumn("violations", _blueprint_violations())
+
+
+@remembered
+def _blueprint_violations() -> Column:
+    return F.when(F.col("value").isNull(), F.array(F.lit("payload: not JSON"))).otherwise(
+        conform.violations(F.col("value"), conform.BLUEPRINT_SHAPE)
     )
 
 
-def _settled(blueprint: Column) -> Column:
+@remembered
+def _tidy() -> Column:
+    return nested.tidy(F.col("typed"), S.BLUEPRINT)
+
+
+@remembered
+def _settled() -> Column:
     """Default styles, and colours in their stored form."""
+    blueprint = F.col("tidy")
 
     def style(value: Column) -> Column:
         colour = F.upper(F.regexp_replace(value["color_hex"], "^#", ""))
@@ -55,10 +66,13 @@ def registry(checked: DataFrame, path: str = "path") -> DataFrame:
     """
     typed = F.try_variant_get(F.col("value"), "$", S.BLUEPRINT.simpleString())
     return (
-        checked.where(F.size("violations") == 0)
+        keep_where(
+            checked.select(path, "value", (F.size("violations") == 0).alias("accepted")),
+            "accepted",
+        )
         .select(path, typed.alias("typed"))
-        .select(path, nested.tidy(F.col("typed"), S.BLUEPRINT).alias("tidy"))
-        .select(path, _settled(F.col("tidy")).alias("blueprint"))
+        .select(path, _tidy().alias("tidy"))
+        .select(path, _settled().alias("blueprint"))
         .select(path, "blueprint.*")
     )
 

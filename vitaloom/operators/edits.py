@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from vitaloom import constants as C
 from vitaloom import schemas as S
 from vitaloom.functions import rules
+from vitaloom.functions.remember import remembered
 from vitaloom.functions.rows import unfold
 from vitaloom.functions.text import comma_items, is_blank, no_strings
 
@@ -135,7 +136,7 @@ def apply_edits(profiles: DataFrame, edits: DataFrame) -> DataFrame:
             "profile",
             F.when(
                 F.col("_settled").isNotNull(),
-                _edited(F.col("profile"), F.col("_edits"), F.col("_settled")),
+                _edited(),
             ).otherwise(F.col("profile")),
         )
         .drop("_edits", "_settled")
@@ -146,7 +147,9 @@ def _edit(edits: Column, path: Column | str) -> Column:
     return F.try_element_at(edits, path if isinstance(path, Column) else F.lit(path))
 
 
-def _edited(profile: Column, edits: Column, settled: Column) -> Column:
+@remembered
+def _edited() -> Column:
+    profile, edits, settled = F.col("profile"), F.col("_edits"), F.col("_settled")
     out = profile
     for name in SCALARS:
         out = out.withField(name, F.coalesce(_edit(edits, name)["value"], profile[name]))

@@ -13,6 +13,7 @@ from vitaloom import constants as C
 from vitaloom import schemas as S
 from vitaloom.functions import entries, rules, sections
 from vitaloom.functions import text as tx
+from vitaloom.functions.remember import remembered
 from vitaloom.functions.rows import unfold
 from vitaloom.operators.review import with_missing
 
@@ -53,28 +54,33 @@ def segment(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
             "text",
             "lined",
             "headings",
-            # A text without headings, the common case in a mixed corpus, is not cut.
-            F.when(
-                F.size("headings") > 0,
-                sections.section_blocks(F.col("headings"), sections.bodies(F.col("lined"))),
-            )
-            .otherwise(sections.no_blocks())
-            .alias("blocks"),
-            *[
-                tx.label_value(F.col("label_hits"), name).alias(label_column(name))
-                for name in C.LABELS
-            ],
-        )
-        .select(
-            "*",
-            *[
-                sections.section_lines(F.col("blocks"), name).alias(section_column(name))
-                for name in SECTIONS
-            ],
+            *block_and_label_columns(),
         )
+        .select("*", *section_columns())
     )
 
 
+@remembered
+def block_and_label_columns() -> list[Column]:
+    # A text without headings, the common case in a mixed corpus, is not cut.
+    blocks = F.when(
+        F.size("headings") > 0,
+        sections.section_blocks(F.col("headings"), sections.bodies(F.col("lined"))),
+    ).otherwise(sections.no_blocks())
+    labels = [
+        tx.label_value(F.col("label_hits"), name).alias(label_column(name)) for name in C.LABELS
+    ]
+    return [blocks.alias("blocks"), *labels]
+
+
+@remembered
+def section_columns() -> list[Column]:
+    return [
+        sections.section_lines(F.col("blocks"), name).alias(section_column(name))
+        for name in SECTIONS
+    ]
+
+
 def section(name: str) -> Column:
     return F.col(section_column(name))
 
@@ -105,6 +111,7 @@ def summary() -> Column:
     )
 
 
+@remembered
 def profile_columns() -> dict[str, Column]:
     """One expression per profile field, over the columns that `segment` adds."""
     text = F.col("text")
@@ -134,11 +141,10 @@ def profile_columns() -> dict[str, Column]:
 
 def extract_fields(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     """Flat form: the kept columns and one column per profile field, not yet reviewed."""
-    fields = profile_columns()
-    staged = segment(docs, *keep, text=text).select(
-        *[F.col(k) for k in keep], *[expr.alias(name) for name, expr in fields.items()]
+    return segment(docs, *keep, text=text).select(
+        *[F.col(k) for k in keep],
+        *[expr.alias(name) for name, expr in profile_columns().items()],
     )
-    return staged
 
 
 def extract_profiles(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitaloom import constants as C
+from vitaloom.functions.remember import remembered
 from vitaloom.functions.rows import unfold
 from vitaloom.functions.text import unless_empty
 
@@ -193,6 +194,18 @@ def lines_for(
     ).otherwise(apex_lines(context))
 
 
+def lay_out(df: DataFrame) -> DataFrame:
+    """Adds `lines` to rows with `context` and the blueprint columns layout needs."""
+    return df.withColumn("lines", _chosen_lines())
+
+
+@remembered
+def _chosen_lines() -> Column:
+    return lines_for(
+        F.col("context"), F.col("renderer_key"), F.col("section_order"), F.col("skills_columns")
+    )
+
+
 def positions(df: DataFrame, lines: str, *keep: str) -> DataFrame:
     """One row per line with its `line_no` in the document."""
     return unfold(df, lines, *keep).select(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitaloom import constants as C
+from vitaloom.functions.remember import remembered
 from vitaloom.functions.rules import field_display
 from vitaloom.functions.text import is_blank, join_present, present
 
@@ -104,8 +105,7 @@ def render_context(
     profile: Column, blind: Column | bool = False, template: Column | str = C.DEFAULT_TEMPLATE
 ) -> Column:
     """The whole client-facing context of a profile as one struct."""
-    blind = F.coalesce(blind, F.lit(False)) if isinstance(blind, Column) else F.lit(blind)
-    template = template if isinstance(template, Column) else F.lit(template)
+    blind, template = _column(blind), _column(template)
     return F.struct(
         template.alias("template_name"),
         heading(profile, blind).alias("candidate_heading"),
@@ -126,4 +126,16 @@ def with_context(
     profiles: DataFrame, blind: Column | bool = False, template: Column | str = C.DEFAULT_TEMPLATE
 ) -> DataFrame:
     """Adds `context`; no shuffle, no UDF."""
-    return profiles.withColumn("context", render_context(F.col("profile"), blind, template))
+    parts = profiles.withColumn("_blind", F.coalesce(_column(blind), F.lit(False))).withColumn(
+        "_template", _column(template)
+    )
+    return parts.withColumn("context", _context()).drop("_blind", "_template")
+
+
+@remembered
+def _context() -> Column:
+    return render_context(F.col("profile"), F.col("_blind"), F.col("_template"))
+
+
+def _column(value: Column | bool | str) -> Column:
+    return value if isinstance(value, Column) else F.lit(value)

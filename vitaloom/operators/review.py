@@ -6,10 +6,11 @@ expression would repeat the profile it starts from at every reference.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitaloom.functions import rules
+from vitaloom.functions.remember import remembered
 
 
 def with_missing(profiles: DataFrame) -> DataFrame:
@@ -17,23 +18,27 @@ def with_missing(profiles: DataFrame) -> DataFrame:
 
     An explicit rule stays, and so does the rule of a field that has been filled since.
     """
-    p = F.col("profile")
+    missing, with_defaults, updated = _missing_steps()
     return (
-        profiles.withColumn("_missing", rules.detect_missing(p))
-        .withColumn(
-            "_rules",
-            rules.overlay_rules(rules.pending_rules(F.col("_missing")), p["client_display_rules"]),
-        )
-        .withColumn(
-            "profile",
-            p.withField("missing_fields", F.col("_missing")).withField(
-                "client_display_rules", F.col("_rules")
-            ),
-        )
+        profiles.withColumn("_missing", missing)
+        .withColumn("_rules", with_defaults)
+        .withColumn("profile", updated)
         .drop("_missing", "_rules")
     )
 
 
+@remembered
+def _missing_steps() -> tuple[Column, Column, Column]:
+    p = F.col("profile")
+    return (
+        rules.detect_missing(p),
+        rules.overlay_rules(rules.pending_rules(F.col("_missing")), p["client_display_rules"]),
+        p.withField("missing_fields", F.col("_missing")).withField(
+            "client_display_rules", F.col("_rules")
+        ),
+    )
+
+
 def with_requested_rules(profiles: DataFrame, requested: str = "requested") -> DataFrame:
     """Rules sent with a request win over stored ones; then missing fields are re-detected."""
     p = F.col("profile")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vitaloom import constants as C
 from vitaloom import schemas as S
 from vitaloom.functions import conform, nested
+from vitaloom.functions.remember import remembered
 from vitaloom.functions.text import is_blank
 from vitaloom.operators.review import with_missing
 
@@ -65,7 +66,7 @@ def conform_profiles(parsed: DataFrame) -> DataFrame:
             "violations",
             F.when(
                 F.col("payload").isNotNull(),
-                conform.violations(F.col("payload"), conform.PROFILE_SHAPE),
+                _profile_violations(),
             ).otherwise(F.array().cast("array<string>")),
         )
         .withColumn(
@@ -77,13 +78,23 @@ def conform_profiles(parsed: DataFrame) -> DataFrame:
         )
         .withColumn("_typed", F.when(F.col("reason").isNull(), typed))
         .drop("payload")
-        .withColumn("profile", nested.tidy(F.col("_typed"), S.PROFILE))
+        .withColumn("profile", _tidy_profile())
         .drop("_typed")
     )
     ok = F.col("reason").isNull()
     return with_missing(typed_rows).withColumn("profile", F.when(ok, F.col("profile")))
 
 
+@remembered
+def _profile_violations() -> Column:
+    return conform.violations(F.col("payload"), conform.PROFILE_SHAPE)
+
+
+@remembered
+def _tidy_profile() -> Column:
+    return nested.tidy(F.col("_typed"), S.PROFILE)
+
+
 def is_safe_artifact_id(artifact_id: Column) -> Column:
     """Non-empty and only letters, numbers, `_` and `-`; `\\z` also rejects a final newline."""
     return F.coalesce(

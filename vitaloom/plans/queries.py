@@ -17,6 +17,7 @@ from vitaloom.functions import entries, rules, sections
 from vitaloom.functions import text as tx
 from vitaloom.operators import artifacts, blueprints, corpus, edits, extract, layout, render
 from vitaloom.operators import review, validate
+from vitaloom.functions.remember import remembered
 from vitaloom.functions.rows import unfold
 from vitaloom.plans import inputs as I
 from vitaloom.templates import built_in_registry
@@ -75,14 +76,18 @@ FLAT_LISTS: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def flat_profile(profile: Column) -> list[Column]:
+@remembered
+def flat_profile() -> list[Column]:
+    profile = F.col("profile")
     return [
         FLAT_LISTS.get(f.name, lambda c: c)(profile[f.name]).alias(f.name)
         for f in S.PROFILE.fields
     ]
 
 
-def flat_context(context: Column) -> list[Column]:
+@remembered
+def flat_context() -> list[Column]:
+    context = F.col("context")
     return [
         context["template_name"].alias("template_name"),
         context["candidate_heading"].alias("candidate_heading"),
@@ -157,7 +162,7 @@ def profile_json(spark, sf_dir):
         F.size(F.json_object_keys("json")).cast("long").alias("keys_written"),
         F.from_json("json", S.PROFILE).alias("profile"),
     )
-    return back.select("doc_id", "keys_written", *flat_profile(F.col("profile")))
+    return back.select("doc_id", "keys_written", *flat_profile())
 
 
 @query
@@ -388,7 +393,7 @@ def language_entries(spark, sf_dir):
 
 @query
 def profiles(spark, sf_dir):
-    return resume_profiles(spark, sf_dir).select("doc_id", *flat_profile(F.col("profile")))
+    return resume_profiles(spark, sf_dir).select("doc_id", *flat_profile())
 
 
 @query
@@ -471,7 +476,7 @@ def edit_buffer(spark, sf_dir):
 @query
 def apply_edits(spark, sf_dir):
     edited = edits.apply_edits(artifact_profiles(spark, sf_dir), I.edits(spark, sf_dir))
-    return edited.select("artifact_id", *flat_profile(F.col("profile")))
+    return edited.select("artifact_id", *flat_profile())
 
 
 @query
@@ -565,7 +570,7 @@ def additional_details(spark, sf_dir):
 
 @query
 def render_context(spark, sf_dir):
-    return contexts(spark, sf_dir).select("doc_id", *flat_context(F.col("context")))
+    return contexts(spark, sf_dir).select("doc_id", *flat_context())
 
 
 # --- templates -----------------------------------------------------------------------------
@@ -742,16 +747,7 @@ def highlights_grid(spark, sf_dir):
 @query
 def layout_lines(spark, sf_dir):
     chosen = _template_of(contexts(spark, sf_dir), spark)
-    laid = chosen.select(
-        "doc_id",
-        layout.lines_for(
-            F.col("context"),
-            F.col("renderer_key"),
-            F.col("section_order"),
-            F.col("skills_columns"),
-        ).alias("lines"),
-    )
-    return _line_rows(laid)
+    return _line_rows(layout.lay_out(chosen))
 
 
 # --- artifact state ------------------------------------------------------------------------

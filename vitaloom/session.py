@@ -12,6 +12,9 @@ SETTINGS = {
     # Sizes of joins and shuffles are decided at run time from real sizes.
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Wide nested expressions are built from thousands of calls; recording the call site of
+    # each takes longer than planning the query.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Repeated keys in a JSON payload: the last one counts.
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
