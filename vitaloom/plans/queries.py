@@ -697,14 +697,11 @@ def _line_rows(df: DataFrame) -> DataFrame:
     return layout.positions(df, "lines", "doc_id")
 
 
-def _template_of(context_rows: DataFrame, spark: SparkSession) -> DataFrame:
-    """Every third document asks for the classic template."""
-    asked = context_rows.withColumn(
-        "template_name",
-        F.expr(
-            f"CASE WHEN {I.RULE_SEED} % 3 = 1 THEN 'client_10554236_v1' END"
-        ),
-    ).withColumn("matched_template_id", F.lit(None).cast("string"))
+def _with_template(context_rows: DataFrame, spark: SparkSession, template: str) -> DataFrame:
+    """Adds the template an SQL expression names, and its layout columns."""
+    asked = context_rows.withColumn("template_name", F.expr(template)).withColumn(
+        "matched_template_id", F.lit(None).cast("string")
+    )
     return blueprints.effective_template(asked, built_in_registry(spark))
 
 
@@ -718,10 +715,8 @@ def layout_apex(spark, sf_dir):
 
 @query
 def layout_classic(spark, sf_dir):
-    classic = built_in_registry(spark).where(F.col("template_id") == "client_10554236_v1")
-    laid = contexts(spark, sf_dir).crossJoin(
-        F.broadcast(classic.select("section_order", "skills_columns").limit(1))
-    ).select(
+    chosen = _with_template(contexts(spark, sf_dir), spark, "'client_10554236_v1'")
+    laid = chosen.select(
         "doc_id",
         layout.classic_lines(
             F.col("context"), F.col("section_order"), F.col("skills_columns")
@@ -746,7 +741,9 @@ def highlights_grid(spark, sf_dir):
 
 @query
 def layout_lines(spark, sf_dir):
-    chosen = _template_of(contexts(spark, sf_dir), spark)
+    # Every third document asks for the classic template.
+    template = f"CASE WHEN {I.RULE_SEED} % 3 = 1 THEN 'client_10554236_v1' END"
+    chosen = _with_template(contexts(spark, sf_dir), spark, template)
     return _line_rows(layout.lay_out(chosen))
 
 
