@@ -164,8 +164,8 @@ def test_text_functions_follow_python(spark, texts):
         .select(
             "i",
             tx.strip(t).alias("strip"),
-            tx.solid_lines(t).alias("lines"),
-            tx.first_line(tx.with_common_line_ends(t)).alias("first"),
+            tx.solid_lines(tx.with_plain_line_ends(t)).alias("lines"),
+            tx.first_line(tx.with_plain_line_ends(t)).alias("first"),
             tx.email(t).alias("email"),
             tx.phone(t).alias("phone"),
             tx.clean_item(t).alias("item"),
@@ -207,10 +207,10 @@ HEADED = st.lists(
 )
 def test_headings_follow_python(spark, docs):
     texts = [end.join(lines) for lines, end in docs]
-    lined = tx.with_common_line_ends(F.col("text"))
+    lined = tx.with_plain_line_ends(F.col("text"))
     rows = (
         spark.createDataFrame(list(enumerate(texts)), "i int, text string")
-        .select("i", sections.headings(lined).alias("h"), sections.line_after(lined, "summary")
+        .select("i", sections.heading_cuts(lined).alias("cuts"), sections.line_after(lined, "summary")
                 .alias("below"))
         .orderBy("i")
         .collect()
@@ -218,7 +218,7 @@ def test_headings_follow_python(spark, docs):
     for text, row in zip(texts, rows):
         lines = text.splitlines()
         plain = [x.strip().rstrip(":") for x in lines]
-        assert row.h == [x for x in plain if x.lower() in C.SECTION_HEADINGS]
+        assert row.cuts[1::2] == [x for x in plain if x.lower() in C.SECTION_HEADINGS]
         at = [i for i, x in enumerate(lines) if x.strip().lower() == "summary"]
         below = lines[at[0] + 1].strip() if at and at[0] + 1 < len(lines) else ""
         assert row.below == (below or None)

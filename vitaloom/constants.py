@@ -160,9 +160,9 @@ SPACE = (
 DIGIT = r"\p{Nd}"
 WORD = r"\p{L}\p{N}_"
 # Characters at which `str.splitlines` ends a line ("\r\n" counts as one end), those of
-# them that Java's regex does not take for a line end, and the white space within a line.
+# them other than "\n", and the white space within a line.
 LINE_END = r"\n\x0b\x0c\r\x1c\x1d\x1e\x{85}\x{2028}\x{2029}"
-RARE_LINE_ENDS = "\x0b\x0c\x1c\x1d\x1e"
+OTHER_LINE_ENDS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 INLINE_SPACE = (
     r"\t\x1f\x20\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}"
 )

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from vitaloom import constants as C
 from vitaloom.functions.text import (
     clean_item,
+    cut_once,
     date_range,
     marked_items,
-    present,
     strip,
     unless_empty,
 )
@@ -73,10 +73,10 @@ def education_entry(value: Column) -> Column:
     undated = strip(
         F.regexp_replace(value, rf"[{C.SPACE}]*\([^)]+\)[{C.SPACE}]*$", "")
     )
-    parts = F.split(undated, rf"[{C.SPACE}]+[–—-][{C.SPACE}]+", 2)
+    parts = cut_once(undated, rf"[{C.SPACE}]+[–—-][{C.SPACE}]+")
     return F.struct(
-        strip(F.get(parts, 1)).alias("institution"),
-        present(F.get(parts, 0)).alias("degree"),
+        parts["tail"].alias("institution"),
+        unless_empty(parts["head"]).alias("degree"),
         _nothing().alias("field_of_study"),
         _nothing().alias("start_date"),
         F.when(

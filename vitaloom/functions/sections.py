@@ -14,10 +14,12 @@ from vitaloom.functions.text import clean_item, present, solid_lines, unless_emp
 # A line that holds nothing but a heading and trailing colons. Case is folded as
 # `str.lower` does it, which besides ASCII only concerns the Kelvin sign.
 HEADING_LINE = (
-    rf"(?im)^[{C.INLINE_SPACE}]*("
+    rf"(?imd)^[{C.INLINE_SPACE}]*("
     + "|".join(C.SECTION_HEADINGS).replace("k", r"[k\x{212a}]")
     + rf"):*[{C.INLINE_SPACE}]*$"
 )
+# A line end that no text with plain line ends holds, and so a safe mark.
+MARK = "\x1e"
 
 
 def heading_section(line: Column) -> Column:
@@ -26,31 +28,31 @@ def heading_section(line: Column) -> Column:
     return F.try_element_at(table, F.lower(F.rtrim(line, F.lit(":"))))
 
 
-def headings(text: Column) -> Column:
-    """Headings in order, as written, of a text with common line ends only."""
-    return F.regexp_extract_all(text, F.lit(HEADING_LINE), F.lit(1))
+def heading_cuts(text: Column) -> Column:
+    """The text cut at its heading lines: text, heading, text, heading, text, ...
 
-
-def bodies(text: Column) -> Column:
-    """Such a text cut at its headings; entry 0 stands before the first heading."""
-    return F.split(text, HEADING_LINE)
-
-
-def no_blocks() -> Column:
-    return F.array().cast("array<struct<section:string,lines:array<string>>>")
+    Expects plain line ends. One pass of the heading pattern finds them all.
+    """
+    marked = F.regexp_replace(text, F.lit(HEADING_LINE), F.lit(f"{MARK}$1{MARK}"))
+    return F.split(marked, MARK)
 
 
-def section_blocks(headings: Column, bodies: Column) -> Column:
-    """Array of (section, lines), one entry per heading in document order.
+def section_blocks(cuts: Column) -> Column:
+    """Array of (heading, section, lines), one entry per heading in document order.
 
     Works within one row, so carrying a heading forward costs no shuffle.
     """
-    return F.transform(
-        headings,
-        lambda h, i: F.struct(
-            heading_section(h).alias("section"), solid_lines(F.get(bodies, i + 1)).alias("lines")
+    places = F.sequence(F.lit(1), F.size(cuts) - 2, F.lit(2))
+    blocks = F.transform(
+        places,
+        lambda at: F.struct(
+            F.lower(F.get(cuts, at)).alias("heading"),
+            heading_section(F.get(cuts, at)).alias("section"),
+            solid_lines(F.get(cuts, at + 1)).alias("lines"),
         ),
     )
+    none = F.array().cast("array<struct<heading:string,section:string,lines:array<string>>>")
+    return F.when(F.size(cuts) > 1, blocks).otherwise(none)
 
 
 def section_lines(blocks: Column, section: str) -> Column:
@@ -68,10 +70,7 @@ def section_text(lines: Column) -> Column:
 def line_after(text: Column, heading: str) -> Column:
     """The written line right below the first line that equals the heading; null if blank.
 
-    Expects a text with common line ends only.
+    Expects plain line ends.
     """
-    pattern = (
-        rf"(?im)^[{C.INLINE_SPACE}]*{heading}[{C.INLINE_SPACE}]*"
-        rf"(?:\r\n|[{C.LINE_END}])(.*)"
-    )
+    pattern = rf"(?imd)^[{C.INLINE_SPACE}]*{heading}[{C.INLINE_SPACE}]*\n(.*)"
     return present(F.regexp_extract(text, pattern, 1))

@@ -45,26 +45,29 @@ def join_present(values: list[Column], sep: str = " | ") -> Column:
     return unless_empty(F.concat_ws(sep, *[present(v) for v in values]))
 
 
-def with_common_line_ends(text: Column) -> Column:
-    """The text with its rare line ends turned into plain ones.
+def with_plain_line_ends(text: Column) -> Column:
+    r"""The text with every line end written as "\n".
 
-    What is left are the line ends that `^`, `$` and `.` of a Java regex know; testing for
-    those is several times cheaper than a look-behind at a class of characters.
+    Lines can then be cut at one plain character, and anchors of a Unix-lines regex find
+    them, both several times cheaper than a class of characters.
     """
-    rare = F.rlike(text, F.lit(f"[{C.RARE_LINE_ENDS}]"))
-    plain = F.translate(text, C.RARE_LINE_ENDS, "\n" * len(C.RARE_LINE_ENDS))
-    return F.when(rare, plain).otherwise(text)
+    other = F.rlike(text, F.lit(f"[{C.OTHER_LINE_ENDS}]"))
+    plain = F.translate(
+        F.replace(text, F.lit("\r\n"), F.lit("\n")),
+        C.OTHER_LINE_ENDS,
+        "\n" * len(C.OTHER_LINE_ENDS),
+    )
+    return F.when(other, plain).otherwise(text)
 
 
 def solid_lines(text: Column) -> Column:
-    """Trimmed lines without the blank ones."""
-    parts = F.transform(F.split(text, f"[{C.LINE_END}]+"), strip)
-    return F.filter(parts, lambda line: line != "")
+    """Trimmed lines without the blank ones, of a text with plain line ends."""
+    return F.filter(F.transform(F.split(text, "\n"), strip), lambda line: line != "")
 
 
 def first_line(text: Column) -> Column:
-    """First non-blank line, trimmed, of a text with common line ends only."""
-    return present(F.regexp_extract(text, rf"[^{C.SPACE}].*", 0))
+    """First non-blank line, trimmed, of a text with plain line ends."""
+    return present(F.regexp_extract(text, rf"[^{C.SPACE}][^\n]*", 0))
 
 
 def first_match(text: Column, pattern: str, needs: str | None = None) -> Column:
@@ -123,20 +126,36 @@ def comma_items(value: Column) -> Column:
 
 def marked_items(lines: Column) -> Column:
     """Non-blank list items of several lines, split at comma, semicolon and bar."""
-    parts = F.flatten(F.transform(lines, lambda line: F.split(line, "[,;|]")))
+    parts = F.flatten(
+        F.transform(lines, lambda line: F.split(F.translate(line, ";|", ",,"), ","))
+    )
     return F.filter(F.transform(parts, clean_item), lambda item: item != "")
 
 
+def cut_once(value: Column, separator: str) -> Column:
+    """(head, tail) around the first match of a separator, trimmed; the tail may be null.
+
+    One cached pattern does this; `split` would compile its pattern for every row.
+    """
+    pattern = rf"(?s)^(.*?){separator}(.*)$"
+    found = F.rlike(value, F.lit(pattern))
+    return F.struct(
+        strip(F.when(found, F.regexp_extract(value, pattern, 1)).otherwise(value)).alias("head"),
+        F.when(found, strip(F.regexp_extract(value, pattern, 2))).alias("tail"),
+    )
+
+
 def date_range(value: Column) -> Column:
     """(start, end) of a date-range text; a single part is the start, none gives nulls."""
-    dash = rf"[{C.SPACE}]+(?:-|–|—|to)[{C.SPACE}]+"
-    parts = F.transform(
-        F.filter(F.array(F.split(value, dash, 2)), lambda p: p != F.array(F.lit(""))),
-        lambda p: F.struct(
-            F.when(F.size(p) == 1, strip(F.get(p, 0)))
-            .otherwise(present(F.get(p, 0)))
+    separator = rf"[{C.SPACE}]+(?:-|–|—|to)[{C.SPACE}]+"
+    given = F.filter(F.array(value), lambda v: v != "")
+    spans = F.transform(
+        F.transform(given, lambda v: cut_once(v, separator)),
+        lambda part: F.struct(
+            F.when(part["tail"].isNull(), part["head"])
+            .otherwise(unless_empty(part["head"]))
             .alias("start_date"),
-            present(F.get(p, 1)).alias("end_date"),
+            unless_empty(part["tail"]).alias("end_date"),
         ),
     )
-    return F.get(parts, 0)
+    return F.get(spans, 0)

@@ -40,20 +40,19 @@ def segment(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     source = F.coalesce(F.col(text), F.lit(""))
     return (
         docs.select(
-            *kept, source.alias("text"), tx.with_common_line_ends(source).alias("lined")
+            *kept, source.alias("text"), tx.with_plain_line_ends(source).alias("lined")
         )
         .select(
             *kept,
             "text",
             "lined",
-            sections.headings(F.col("lined")).alias("headings"),
+            sections.heading_cuts(F.col("lined")).alias("cuts"),
             tx.label_hits(F.col("text")).alias("label_hits"),
         )
         .select(
             *kept,
             "text",
             "lined",
-            "headings",
             *block_and_label_columns(),
         )
         .select("*", *section_columns())
@@ -62,11 +61,7 @@ def segment(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
 
 @remembered
 def block_and_label_columns() -> list[Column]:
-    # A text without headings, the common case in a mixed corpus, is not cut.
-    blocks = F.when(
-        F.size("headings") > 0,
-        sections.section_blocks(F.col("headings"), sections.bodies(F.col("lined"))),
-    ).otherwise(sections.no_blocks())
+    blocks = sections.section_blocks(F.col("cuts"))
     labels = [
         tx.label_value(F.col("label_hits"), name).alias(label_column(name)) for name in C.LABELS
     ]
@@ -104,7 +99,7 @@ def listed(label_name: str, section_name: str) -> Column:
 
 def summary() -> Column:
     """The summary section; failing that, the line under a bare `Summary` heading."""
-    bare = F.exists(F.col("headings"), lambda h: F.lower(h) == "summary")
+    bare = F.exists(F.col("blocks"), lambda b: b["heading"] == "summary")
     return F.coalesce(
         sections.section_text(section("professional_summary")),
         F.when(bare, sections.line_after(F.col("lined"), "summary")),
@@ -156,7 +151,7 @@ def extract_profiles(docs: DataFrame, *keep: str, text: str = "text") -> DataFra
 
 def document_lines(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     """Long form: one row per solid line, with the section its heading opens, if any."""
-    lines = tx.solid_lines(F.coalesce(F.col(text), F.lit("")))
+    lines = tx.solid_lines(tx.with_plain_line_ends(F.coalesce(F.col(text), F.lit(""))))
     rows = unfold(docs.select(*[F.col(k) for k in keep], lines.alias("lines")), "lines", *keep)
     return rows.select(
         *keep,
