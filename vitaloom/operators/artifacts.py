@@ -78,9 +78,11 @@ def artifact_state(events: DataFrame) -> DataFrame:
 def debug_entries(events: DataFrame) -> DataFrame:
     """(artifact_id, name, location): the newest location per artifact and file role."""
     return (
+        # The outer form keeps Catalyst from computing the map twice to skip empty ones.
         events.select(
-            "artifact_id", event_order().alias("_order"), F.explode("debug_artifacts")
+            "artifact_id", event_order().alias("_order"), F.explode_outer("debug_artifacts")
         )
+        .where(F.col("key").isNotNull())
         .groupBy("artifact_id", F.col("key").alias("name"))
         .agg(F.max_by("value", "_order").alias("location"))
     )

@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vitaloom.operators.blueprints import check_blueprints, registry
 
@@ -137,9 +138,18 @@ BUILT_IN = (
 
 
 def built_in_payloads(spark: SparkSession) -> DataFrame:
-    """(path, payload) as if read from `<template_id>/blueprint.json` files."""
-    rows = [(f"{b['template_id']}/blueprint.json", json.dumps(b)) for b in BUILT_IN]
-    return spark.createDataFrame(rows, "path string, payload string")
+    """(path, payload) as if read from `<template_id>/blueprint.json` files.
+
+    Literals, so that Spark knows how small this is and broadcasts it by its own rule.
+    """
+    rows = [
+        F.struct(
+            F.lit(f"{b['template_id']}/blueprint.json").alias("path"),
+            F.lit(json.dumps(b)).alias("payload"),
+        )
+        for b in BUILT_IN
+    ]
+    return spark.range(1).select(F.explode(F.array(*rows)).alias("row")).select("row.*")
 
 
 def built_in_registry(spark: SparkSession) -> DataFrame:
