@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vitaloom import constants as C
 from vitaloom.operators import completions, extract
+from vitaloom.session import checkpoint_for
 from vitaloom.sources import files
 from vitaloom.streaming import ingest
 
@@ -154,3 +155,10 @@ def test_native_extraction_from_a_prompt(spark):
     asked = extract.prompts(docs, "doc_id")
     texts = asked.select("doc_id", extract.prompt_text(F.col("prompt")).alias("text"))
     assert extract.extract_profiles(texts, "doc_id").first().profile.skills == ["SQL"]
+
+
+def test_checkpoints_stand_in_the_shared_folder(spark):
+    shared = spark.conf.get("spark.checkpoint.dir")
+    one, other = (checkpoint_for(spark, "p", f"s3://bucket/{i}") for i in "ab")
+    assert one != other and one.startswith(f"{shared}/p-")
+    assert one == checkpoint_for(spark, "p", "s3://bucket/a")

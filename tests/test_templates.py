@@ -270,3 +270,44 @@ def test_grid_is_filled_by_column(spark, n, columns):
     assert [(g.grid_row, g.grid_column, g.text) for g in grid] == [
         (r, c, s) for (r, c), s in zip(places, skills)
     ]
+
+
+SHORT = {"full_name": "Sam Short", "skills": ["Filing"]}
+TYPICAL = {
+    "full_name": "Tea Typical",
+    "location": "Boston",
+    "professional_summary": "Accountant with reporting experience.",
+    "skills": ["Ledgers", "Audits", "ERP"],
+    "languages": [{"name": "English", "proficiency": "Native"}],
+    "work_experience": [
+        {"company": "Acme", "title": "Accountant", "start_date": "2019", "end_date": "2023",
+         "description": ["Closed books.", "Ran audits."]}
+    ],
+    "education": [{"institution": "State U", "degree": "BSc", "end_date": "2018"}],
+    "certifications": [{"name": "CPA", "issuer": "Board"}],
+}
+LONG = {
+    **TYPICAL,
+    "full_name": "Lou Long",
+    "skills": [f"Skill {i}" for i in range(41)],
+    "work_experience": [
+        {"company": f"Company {i}", "title": f"Title {i}", "location": f"City {i}",
+         "start_date": str(1980 + i), "description": [f"Task {i}.{j}" for j in range(12)]}
+        for i in range(15)
+    ],
+}
+
+
+@pytest.mark.parametrize("template", ["apex_standard", "client_10554236_v1"])
+@pytest.mark.parametrize("payload", [SHORT, TYPICAL, LONG])
+def test_profiles_of_any_length_come_out_whole(spark, payload, template):
+    texts = [text for _, _, text in lay_out(spark, payload, template)]
+    page = "\n".join(texts)
+    for skill in payload["skills"]:
+        assert skill in page
+    for job in payload.get("work_experience", []):
+        assert job["company"] in page and job["title"] in page
+        at = [texts.index(task) for task in job["description"]]
+        assert at == list(range(at[0], at[0] + len(at)))
+    if payload is not SHORT:
+        assert "CPA | Board" in texts and payload["professional_summary"] in texts

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from functools import wraps
 from typing import TypeVar
 
-from pyspark.sql import SparkSession
+from pyspark import SparkContext
 
 T = TypeVar("T")
 
@@ -21,8 +21,7 @@ def remembered(build: Callable[..., T]) -> Callable[..., T]:
 
     @wraps(build)
     def once(*args):
-        spark = SparkSession.getActiveSession()
-        key = (spark.sparkContext.applicationId if spark else None, *args)
+        key = (SparkContext.getOrCreate().applicationId, *args)
         if key not in built:
             built[key] = build(*args)
         return built[key]

@@ -59,8 +59,15 @@ def client_factory(
     return providers[name](stage_settings(name, stage, env))
 
 
-def complete(prompted: DataFrame, factory: ClientFactory) -> DataFrame:
-    """(doc_id, raw_response, error) of (doc_id, prompt); a failed call is a row."""
+def complete(
+    prompted: DataFrame, factory: ClientFactory, tasks: int | None = None
+) -> DataFrame:
+    """(doc_id, raw_response, error) of (doc_id, prompt); a failed call is a row.
+
+    `tasks` spreads slow calls over that many tasks; by default the input's partitions stay.
+    """
+    if tasks:
+        prompted = prompted.repartition(tasks, "doc_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = None
@@ -82,6 +89,7 @@ def extract_with_client(
     factory: ClientFactory,
     folder: str,
     job_description: str | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """(doc_id, profile, violations, reason) of (doc_id, text).
 
@@ -90,7 +98,7 @@ def extract_with_client(
     spark = docs.sparkSession
     answered = stored(spark, folder, S.COMPLETION).where(F.col("error").isNull())
     todo = not_yet_stored(docs, answered, "doc_id")
-    asked = complete(prompts(todo, "doc_id", job_description=job_description), factory)
+    asked = complete(prompts(todo, "doc_id", job_description=job_description), factory, tasks)
     asked.write.mode("append").parquet(folder)
 
     attempts = stored(spark, folder, S.COMPLETION)

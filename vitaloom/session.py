@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zlib
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -15,6 +17,8 @@ SETTINGS = {
     # Wide nested expressions are built from thousands of calls; recording the call site of
     # each takes longer than planning the query.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # Python tasks here get whole files and whole prompts; few rows fill a batch.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "64",
     # Repeated keys in a JSON payload: the last one counts.
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
@@ -39,6 +43,14 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="vitaloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _local_folder(spark.sparkContext.applicationId)
+
+
+@cache
+def _local_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"vitaloom-{application}-")
+
+
+def checkpoint_for(spark: SparkSession, purpose: str, output: str) -> str:
+    """Checkpoint of the stream that serves one purpose and writes one output."""
+    return f"{shared_folder(spark)}/{purpose}-{zlib.crc32(output.encode()):08x}"

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from vitaloom.operators.extract import extract_profiles
 from vitaloom.operators.validate import reject_empty_text
-from vitaloom.session import shared_folder
+from vitaloom.session import checkpoint_for
 from vitaloom.sources.files import BINARY_FILE, docx_text, is_resume_file
 
 
@@ -48,7 +48,7 @@ def start_profile_sink(
     texts: DataFrame, folder: str, *keep: str, checkpoint: str | None = None
 ) -> StreamingQuery:
     """Append profiles to a parquet table; drains what is there, then stops."""
-    where = checkpoint or f"{shared_folder(texts.sparkSession)}/profile_sink"
+    where = checkpoint or checkpoint_for(texts.sparkSession, "profiles", folder)
     return (
         profiles_of(texts, *keep)
         .writeStream.format("parquet")

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from vitaloom import schemas as S
 from vitaloom.operators import artifacts
-from vitaloom.session import shared_folder
+from vitaloom.session import checkpoint_for
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -49,7 +49,7 @@ def start_state_sink(
     events: DataFrame, folder: str, checkpoint: str | None = None
 ) -> StreamingQuery:
     """Change log of `artifact_state`."""
-    where = checkpoint or f"{shared_folder(events.sparkSession)}/artifact_state"
+    where = checkpoint or checkpoint_for(events.sparkSession, "artifact-state", folder)
     return _start(artifacts.artifact_state(events), folder, where)
 
 
@@ -57,7 +57,7 @@ def start_debug_sink(
     events: DataFrame, folder: str, checkpoint: str | None = None
 ) -> StreamingQuery:
     """Change log of `debug_entries`, one row per artifact and file role."""
-    where = checkpoint or f"{shared_folder(events.sparkSession)}/debug_entries"
+    where = checkpoint or checkpoint_for(events.sparkSession, "debug-entries", folder)
     return _start(artifacts.debug_entries(events), folder, where)
 
 
