@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from vitaloom import constants as C
 from vitaloom import schemas as S
-from vitaloom.functions import entries, rules, sections
+from vitaloom.functions import rules, sections
 from vitaloom.functions import text as tx
 from vitaloom.operators import artifacts, blueprints, corpus, edits, extract, layout, render
 from vitaloom.operators import review, validate
