@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitaloom.llm import minhash
+from vitaloom.llm import bpe, minhash
 from vitaloom.plans.inputs import table
 
 
@@ -12,8 +12,13 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
+    "op5_bpe": op5_bpe,
 }
 
 SQL: dict[str, str] = {}
