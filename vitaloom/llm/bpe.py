@@ -26,13 +26,14 @@ from array import array
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitaloom.llm.common import batches_of
+from vitaloom.llm.common import with_column
 
 LEAF_CHARS = 4096
 LEAF_BYTES = 32
@@ -195,7 +196,7 @@ def encode(
     repeated rows, pass unchanged.
     """
     path = path or public_tokenizers.path(RANK_FILE)
-    return _with_column(
+    return with_column(
         docs, F.coalesce(F.col(text_col).cast("string"), F.lit("")), "ids", pa.list_(pa.int32()),
         "array<int>", lambda: (lambda text: _codec(path, pattern).encode(text)),
     )
@@ -207,61 +208,38 @@ def decode(docs: DataFrame, ids_col: str = "ids", path: str | None = None) -> Da
     Null ids count as none. An id outside the vocabulary is an error.
     """
     path = path or public_tokenizers.path(RANK_FILE)
-    return _with_column(
+    return with_column(
         docs, F.coalesce(F.col(ids_col), F.array().cast("array<int>")), "decoded", pa.binary(),
         "binary", lambda: _codec(path, public_tokenizers.PATTERN).decode,
     )
 
 
-def _with_column(docs, value, name, arrow, ddl, function):
-    """`docs` with a column made of `value`, row by row, in Arrow batches."""
-    kept = [c for c in docs.columns if c.lower() != name]
-    given = docs.select(*kept, value.alias("_value"))
-    fields = ", ".join(
-        f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}"
-        for f in docs.select(*kept).schema
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = function()
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                made = [work(x) for x in part.column(part.num_columns - 1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.array(made, arrow)], names=[*kept, name]
-                )
-
-    return given.mapInArrow(run, f"{fields}, {name} {ddl}" if fields else f"{name} {ddl}")
-
-
 def _digests(path: str, pattern: str):
-    schema = pa.schema(
-        [
-            ("doc_id", pa.int64()),
-            ("n_tokens", pa.int64()),
-            ("ids_sha256", pa.string()),
-            ("decoded_sha256", pa.string()),
-        ]
-    )
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path, pattern)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
+                texts = batch.column(1).to_pylist()
+                ids = [codec.encode(text or "") for text in texts]
+                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                flat = np.concatenate([np.asarray(i, np.int32) for i in ids])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0),
+                        pa.array([len(i) for i in ids], pa.int64()),
+                        pa.array([_sha256(_little_endian(i)) for i in ids]),
+                        pa.array([_sha256(codec.decode(i)) for i in ids]),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+                    ],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"],
+                )
 
-        def rows():
-            for batch in batches:
-                for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
-                    ids = codec.encode(text or "")
-                    yield (
-                        doc_id,
-                        len(ids),
-                        hashlib.sha256(_little_endian(ids)).hexdigest(),
-                        hashlib.sha256(codec.decode(ids)).hexdigest(),
-                    )
+    return run
 
-        yield from batches_of(rows(), schema)
 
-    return run
+def _sha256(data: bytes) -> str:
+    return hashlib.sha256(data).hexdigest()
 
 
 def round_trip(
@@ -271,16 +249,16 @@ def round_trip(
     path: str | None = None,
     pattern: str = public_tokenizers.PATTERN,
 ) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every whole text.
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids of every whole text.
 
     The ids are hashed as little-endian 32-bit integers, the decoded bytes as they are.
-    Encoding and decoding run in one pass, so ids never leave the worker. A null text counts
-    as empty; every row is returned, also those that repeat an id or have none.
+    Encoding and decoding run in one pass. A null text counts as empty; every row is
+    returned, also those that repeat an id or have none.
     """
     path = path or public_tokenizers.path(RANK_FILE)
     return docs.select(
         F.col(id_col).cast("long"), F.col(text_col).cast("string")
     ).mapInArrow(
         _digests(path, pattern),
-        "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+        "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, ids array<int>",
     )

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from vitaloom.session import shared_folder
 
@@ -98,3 +98,35 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.record_batch(
         [pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema
     )
+
+
+def with_column(
+    docs: DataFrame,
+    value: Column,
+    name: str,
+    arrow: pa.DataType,
+    ddl: str,
+    make: Callable[[], Callable],
+) -> DataFrame:
+    """`docs` with the column `name`, in place of any such column, made of `value`.
+
+    `make` runs once a task and gives the function from a value to a result. Rows go through
+    in Arrow batches of bounded size; all other columns pass unchanged, without a shuffle.
+    """
+    kept = [c for c in docs.columns if c.lower() != name.lower()]
+    quoted = [f"`{c.replace('`', '``')}`" for c in kept]
+    given = docs.select(*[docs[q] for q in quoted], value.alias("_value"))
+    types = [f.dataType.simpleString() for f in given.schema][:-1]
+    fields = ", ".join(f"{q} {t}" for q, t in zip(quoted, types))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                made = [work(x) for x in part.column(part.num_columns - 1).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:-1], pa.array(made, arrow)], names=[*kept, name]
+                )
+
+    return given.mapInArrow(run, ", ".join(filter(None, (fields, f"{name} {ddl}"))))

@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 from vitaloom.llm.common import (
     REMEMBERED_WORDS,
     WordHashes,
-    batches_of,
     mix,
     plain_words,
     stored,
     texts_of,
+    with_column,
 )
 
 DIMENSIONS = 1 << 18
@@ -198,28 +198,24 @@ def _round(common):
     return run
 
 
-def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and score (0 to 1) of every row, by its text alone.
+def with_scores(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataFrame:
+    """`docs` with `score` (0 to 1), in place of any such column, by the text alone.
 
     A null or empty text has no n-gram and gets the score of the intercept.
     """
     model = docs.sparkSession.sparkContext.broadcast(weights)
-    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         features, w = Features(), model.value
 
-        def rows():
-            for batch in batches:
-                for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
-                    slots, values = features(text)
-                    yield doc_id, float(sigmoid((w[slots] * values).sum() + w[-1]))
+        def of(text: bytes | None) -> float:
+            slots, values = features(text)
+            return float(sigmoid((w[slots] * values).sum() + w[-1]))
 
-        yield from batches_of(rows(), schema)
+        return of
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(
-        run, "doc_id bigint, score double"
-    )
+    text = docs[text_col].cast("string").cast("binary")
+    return with_column(docs, text, "score", pa.float64(), "double", make)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -228,7 +224,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     Trains on `labels` (id, quality). Every row is returned, also those that repeat an id or
     have none; an empty table gives an empty table.
     """
-    scored = score(docs, train(docs, labels, id_col, text_col), id_col, text_col)
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    scored = with_scores(narrow, train(docs, labels, id_col, text_col))
     return scored.select(
         "doc_id",
         held_out("doc_id").alias("held_out"),

@@ -27,7 +27,7 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(table(spark, sf_dir, "documents"))
+    return bpe.round_trip(table(spark, sf_dir, "documents")).drop("ids")
 
 
 QUERIES = {
