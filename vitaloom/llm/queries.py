@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitaloom.llm import bpe, decontaminate, minhash, quality, substrings
+from vitaloom.llm import bpe, decontaminate, minhash, quality, rules, substrings
 from vitaloom.plans.inputs import table
 
 
@@ -30,12 +30,17 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents")).drop("ids")
 
 
+def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judged(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_decontaminate": op2_decontaminate,
     "op3_quality": op3_quality,
     "op4_substrings": op4_substrings,
     "op5_bpe": op5_bpe,
+    "op10_rules": op10_rules,
 }
 
 SQL: dict[str, str] = {}
