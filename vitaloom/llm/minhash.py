@@ -205,9 +205,11 @@ def _pairs_across(apart: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components in `apart` that may be links.
 
     Order all shingles by how many of these texts have them, rarest first. Two sets whose
-    index reaches the threshold t share one of the first (1 - t) * n + 1 shingles of each.
-    Shingles of one text only come first and match nothing, so a text with enough words of
-    its own has no partner left, however many texts share its common passage.
+    index reaches the threshold t share one of the first (1 - t) * n + 1 shingles of each,
+    and behind the first they share enough must be left on either side to make up the
+    intersection that t asks for. Shingles of one text only come first and match nothing, so
+    a text with enough words of its own has no partner left, however many texts share its
+    common passage.
     """
     least, whole = THRESHOLD
     rows = stored(
@@ -220,15 +222,14 @@ def _pairs_across(apart: DataFrame, texts: DataFrame) -> DataFrame:
     ranked = rows.join(shared, "shingle").join(apart, "rep")
     of_text = Window.partitionBy("rep")
     n = F.col("n_shingles")
-    first = n - F.ceil(n * least / whole) + 1 - (n - F.count("*").over(of_text))
+    own = n - F.count("*").over(of_text)
     prefix = stored(
         ranked.select(
             "*",
-            F.row_number().over(of_text.orderBy("n_texts", "shingle")).alias("place"),
-            first.alias("first"),
+            (own + F.row_number().over(of_text.orderBy("n_texts", "shingle"))).alias("place"),
         )
-        .where("place <= first")
-        .select("shingle", "rep", "component", "n_shingles"),
+        .where(F.col("place") <= n - F.ceil(n * least / whole) + 1)
+        .select("shingle", "rep", "component", "n_shingles", (n - F.col("place")).alias("rest")),
         "prefixes",
     )
     return (
@@ -239,7 +240,11 @@ def _pairs_across(apart: DataFrame, texts: DataFrame) -> DataFrame:
             & (F.col("x.rep") < F.col("y.rep"))
             & (F.col("x.component") != F.col("y.component"))
             & (F.col("x.n_shingles") * whole >= F.col("y.n_shingles") * least)
-            & (F.col("y.n_shingles") * whole >= F.col("x.n_shingles") * least),
+            & (F.col("y.n_shingles") * whole >= F.col("x.n_shingles") * least)
+            & (
+                (F.least("x.rest", "y.rest") + 1) * (least + whole)
+                >= (F.col("x.n_shingles") + F.col("y.n_shingles")) * least
+            ),
         )
         .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
         .distinct()
