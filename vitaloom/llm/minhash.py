@@ -20,6 +20,7 @@ that stands are never paired.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import cache
 
@@ -280,7 +281,7 @@ def near_duplicates(
         .where("a < last")
         .select("bucket", "a")
     )
-    together = members.join(centres, "bucket")
+    together = stored(members.join(centres, "bucket"), "together")
     stars = stored(
         together.where("a < rep").select("a", F.col("rep").alias("b")).distinct(), "stars"
     )
@@ -292,23 +293,34 @@ def near_duplicates(
     links = stored(_linked(stars, texts), "links")
     first = components(links)
 
-    # Buckets that still hold several components: pairs across them, not compared so far.
-    labelled = (
+    # Members of a bucket that still hold several components, among those whose sizes allow
+    # the threshold: sizes fall into classes that wide, and a member stands in its own class
+    # and the next, so that any two that may be linked share one.
+    least, whole = THRESHOLD
+    size_class = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(whole / least))
+    labelled = stored(
         together.select("bucket", "rep")
         .join(first.withColumnRenamed("id", "rep"), "rep", "left")
-        .withColumn("component", F.coalesce("component", "rep"))
+        .join(reps.select("rep", "n_shingles"), "rep")
+        .select(
+            "bucket",
+            "rep",
+            "n_shingles",
+            F.coalesce("component", "rep").alias("component"),
+            F.explode(F.array(size_class, size_class + 1)).alias("size_class"),
+        ),
+        "labelled",
     )
     split = (
-        labelled.groupBy("bucket")
+        labelled.groupBy("bucket", "size_class")
         .agg(F.min("component").alias("low"), F.max("component").alias("high"))
         .where("low < high")
-        .select("bucket")
+        .select("bucket", "size_class")
     )
     apart = stored(
-        labelled.join(split, "bucket")
-        .select("rep", "component")
-        .distinct()
-        .join(reps.select("rep", "n_shingles"), "rep"),
+        labelled.join(split, ["bucket", "size_class"])
+        .select("rep", "component", "n_shingles")
+        .distinct(),
         "apart",
     )
     across = _pairs_across(apart, texts).join(stars, ["a", "b"], "left_anti")

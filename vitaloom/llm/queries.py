@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitaloom.llm import bpe, decontaminate, minhash, quality, rules, substrings
+from vitaloom.llm import bpe, decontaminate, lm, minhash, quality, rules, substrings
 from vitaloom.plans.inputs import table
 
 
@@ -30,6 +30,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents")).drop("ids")
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_substrings": op4_substrings,
     "op5_bpe": op5_bpe,
+    "op9_lm": op9_lm,
     "op10_rules": op10_rules,
 }
 
