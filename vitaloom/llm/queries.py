@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitaloom.llm import bpe, decontaminate, lm, minhash, quality, rules, substrings
+from vitaloom.llm import bpe, decontaminate, lm, minhash, quality, rules, substrings, warc
 from vitaloom.plans.inputs import table
 
 
@@ -30,6 +30,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents")).drop("ids")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
@@ -44,8 +50,21 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_substrings": op4_substrings,
     "op5_bpe": op5_bpe,
+    "op6_warc": op6_warc,
     "op9_lm": op9_lm,
     "op10_rules": op10_rules,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_warc": """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+    sha256(coalesce(html, '')) AS payload_digest
+  FROM pages
+), m AS (SELECT payload_digest, min(page_id) AS first FROM p GROUP BY ALL)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END
+    AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM p JOIN m USING (payload_digest)""",
+}
