@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vitaloom.llm import bpe, decontaminate, lm, minhash, quality, rules, substrings, warc
+from vitaloom.llm import bpe, decontaminate, lm, minhash, preferences, quality, rules, substrings, warc
 from vitaloom.plans.inputs import table
 
 
@@ -36,6 +37,25 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = preferences.pairs_of_answers(table(spark, sf_dir, "conversations"))
+    return preferences.format_pairs(turns).select(
+        "pair_id",
+        "n_prefix",
+        "prompt",
+        "chosen",
+        "rejected",
+        _told("chosen_spans").alias("chosen_spans"),
+        _told("rejected_spans").alias("rejected_spans"),
+    )
+
+
+def _told(spans: str) -> Column:
+    """Spans as start:length, comma-joined."""
+    one = lambda s: F.concat(s["start"], F.lit(":"), s["length"])
+    return F.when(F.col(spans).isNotNull(), F.concat_ws(",", F.transform(spans, one)))
+
+
 def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
@@ -51,6 +71,7 @@ QUERIES = {
     "op4_substrings": op4_substrings,
     "op5_bpe": op5_bpe,
     "op6_warc": op6_warc,
+    "op7_preferences": op7_preferences,
     "op9_lm": op9_lm,
     "op10_rules": op10_rules,
 }
@@ -67,4 +88,48 @@ SELECT page_id, payload_bytes, payload_digest,
     AS record_type,
   CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
 FROM p JOIN m USING (payload_digest)""",
+    "op7_preferences": """
+WITH conv AS (SELECT conv_id AS pair_id, turn, role, text FROM conversations
+  WHERE conv_id IS NOT NULL),
+answers AS (SELECT pair_id, max(turn) AS last_turn,
+    max({'turn': turn, 'text': text}).text AS answer
+  FROM conv WHERE role = 'assistant' GROUP BY ALL),
+swaps AS (SELECT a.pair_id, a.last_turn, b.answer AS other
+  FROM answers a JOIN answers b ON b.pair_id = a.pair_id + 1),
+sides AS (
+  SELECT pair_id, 'c' AS side, turn, role, text FROM conv
+  UNION
+  SELECT pair_id, 'r', turn, role, text FROM conv JOIN swaps USING (pair_id)
+  WHERE turn < last_turn
+  UNION
+  SELECT pair_id, 'r', last_turn, 'assistant', other FROM swaps),
+placed AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn, role, text)
+    AS i FROM sides),
+sizes AS (SELECT pair_id, count(*) FILTER (side = 'c') AS nc, count(*) FILTER (side = 'r') AS nr
+  FROM sides GROUP BY ALL),
+differs AS (SELECT c.pair_id, min(c.i) AS i FROM placed c JOIN placed r
+    ON c.pair_id = r.pair_id AND c.i = r.i AND c.side = 'c' AND r.side = 'r'
+  WHERE c.role IS DISTINCT FROM r.role OR c.text IS DISTINCT FROM r.text GROUP BY ALL),
+prefix AS (SELECT pair_id, nr, coalesce(i - 1, least(nc, nr)) AS n
+  FROM sizes LEFT JOIN differs USING (pair_id)),
+drawn AS (SELECT pair_id, side, i, n, role, coalesce(text, '') AS t,
+    '<|im_start|>' || coalesce(role, '') || chr(10) AS head,
+    coalesce(text, '') || '<|im_end|>' || chr(10) AS body
+  FROM placed JOIN prefix USING (pair_id)),
+spans AS (SELECT *, coalesce(sum(length(head) + length(body)) OVER (
+    PARTITION BY pair_id, side ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+    + length(head) AS start FROM drawn WHERE i > n)
+SELECT p.pair_id, p.n AS n_prefix,
+  coalesce((SELECT string_agg(head || body, '' ORDER BY i) FROM drawn d
+    WHERE d.pair_id = p.pair_id AND side = 'c' AND i <= d.n), '') AS prompt,
+  coalesce((SELECT string_agg(head || body, '' ORDER BY i) FROM spans d
+    WHERE d.pair_id = p.pair_id AND side = 'c'), '') AS chosen,
+  CASE WHEN p.nr > 0 THEN coalesce((SELECT string_agg(head || body, '' ORDER BY i) FROM spans d
+    WHERE d.pair_id = p.pair_id AND side = 'r'), '') END AS rejected,
+  coalesce((SELECT string_agg(start || ':' || length(t), ',' ORDER BY i) FROM spans d
+    WHERE d.pair_id = p.pair_id AND side = 'c' AND role = 'assistant'), '') AS chosen_spans,
+  CASE WHEN p.nr > 0 THEN coalesce((SELECT string_agg(start || ':' || length(t), ',' ORDER BY i)
+    FROM spans d WHERE d.pair_id = p.pair_id AND side = 'r' AND role = 'assistant'), '') END
+    AS rejected_spans
+FROM prefix p""",
 }
