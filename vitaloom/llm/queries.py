@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitaloom.llm import bpe, decontaminate, lm, minhash, preferences, quality, rules, substrings, warc
+from vitaloom.llm import bpe, decontaminate, licenses, lm, minhash, preferences, quality, rules, substrings, warc
 from vitaloom.plans.inputs import table
 
 
@@ -56,6 +56,12 @@ def _told(spans: str) -> Column:
     return F.when(F.col(spans).isNotNull(), F.concat_ws(",", F.transform(spans, one)))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "license_id", F.concat_ws(",", "notices").alias("notices")
+    )
+
+
 def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
@@ -72,6 +78,7 @@ QUERIES = {
     "op5_bpe": op5_bpe,
     "op6_warc": op6_warc,
     "op7_preferences": op7_preferences,
+    "op8_licenses": op8_licenses,
     "op9_lm": op9_lm,
     "op10_rules": op10_rules,
 }
