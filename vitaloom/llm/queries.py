@@ -83,7 +83,50 @@ QUERIES = {
     "op10_rules": op10_rules,
 }
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 SQL: dict[str, str] = {
+    "op1_minhash": rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN []
+    WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS s
+  FROM w),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY ALL),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k
+  FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * k >= 75 * (x.n + y.n - k)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS other FROM documents
+  UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON e.a = r.other),
+least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY ALL)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM least LEFT JOIN sizes USING (doc_id)""",
+    "op2_decontaminate": rf"""
+WITH w AS (SELECT doc_id,
+    regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id,
+    regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+windows AS (SELECT DISTINCT item_id, least(len(ws), 10) AS n,
+    unnest(list_transform(range(1, greatest(len(ws) - 9, 1) + 1),
+      lambda i: array_to_string(ws[i:i + 9], ' '))) AS s
+  FROM b WHERE len(ws) > 0),
+lengths AS (SELECT DISTINCT n FROM windows),
+runs AS (SELECT doc_id, n, unnest(range(1, len(ws) - n + 2)) AS i, ws
+  FROM w JOIN lengths ON len(ws) >= n),
+hits AS (SELECT doc_id, i, r.n, item_id
+  FROM (SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS s FROM runs) r
+  JOIN windows USING (n, s)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY ALL),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY ALL)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
     "op6_warc": """
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
