@@ -35,11 +35,11 @@ from vitaloom.llm.common import (
 
 DIMENSIONS = 1 << 18
 SAMPLE = 20_000
-SHARDS = 8
-ROUNDS = 5
+SHARDS = 4
+ROUNDS = 8
 CUT = 0.7
 # FTRL-proximal: learning rate, its offset, and the weights of both penalties.
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.02, 0.1
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.02, 0.1
 
 
 # Bytes to classes: capitals, other letters (all of a longer code among them), digits; the
