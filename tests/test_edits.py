@@ -77,8 +77,8 @@ def test_current_title(spark):
 
 def test_paths_without_a_place(spark):
     log = [
-        ("languages.1.name", "x"), ("skills.3", "x"), ("nonsense", "x"),
-        ("work_experience.1.description.0", "x"), ("work_experience.x.title", "x"),
+        ("languages.1.name", "x"), ("skills.4", "x"), ("nonsense", "x"),
+        ("work_experience.1.description.1", "x"), ("work_experience.x.title", "x"),
         ("languages.0.level", "x"), ("email", ""), ("phone", "1"),
     ]
     profiles, changes = tables(spark, *log)
@@ -118,3 +118,35 @@ def test_buffer_against_brute_force(spark):
             buffer[artifact, path] = (value, position)
     rows = edits.buffered_edits(spark.createDataFrame(log, S.EDIT)).collect()
     assert {(r.artifact_id, r.path): (r.value, r.position) for r in rows} == buffer
+
+
+def test_lists_grow_at_their_end(spark):
+    assert edited(spark, ("skills.3", "X"), ("skills.4", "Y"))["a"].skills == ["SQL", "Go", "R", "X", "Y"]
+    assert edited(spark, ("skills", "x"), ("skills.1", "Y"))["a"].skills == ["x", "Y"]
+    five = [("skills", "a,b,c,d,e"), ("skills.4", "Y")]
+    assert edited(spark, *five)["a"].skills == ["a", "b", "c", "d", "Y"]
+    work = edited(
+        spark, ("work_experience.1.description.0", "first"), ("work_experience.0.description.2", "z")
+    )["a"].work_experience
+    assert [w.description for w in work] == [["x", "y", "z"], ["first"]]
+
+
+def test_applied_and_unapplied_are_all_buffered(spark):
+    """Each buffered edit is either reported or found in the edited profile."""
+    log = [
+        ("skills", "x"), ("skills.1", "v1"), ("skills.3", "v2"), ("skills.01", "v3"), ("skills.0\n", "v4"),
+        ("skills.99999999999999999999999", "v5"), ("languages.00.name", "v6"), ("languages.0.name\n", "v7"),
+        ("languages.0.name", "v8"), ("work_experience.0.description.2", "v9"),
+        ("work_experience.0.description.4", "v10"), ("work_experience.2.description.0", "v11"),
+        ("education.1.degree", "v12"), ("email", "v13"), ("skills.-1", "v14"), ("skills.2", "v15"), ("", "v16"),
+    ]
+    profiles, changes = tables(spark, *log)
+    buffered = {(r.path, r.value) for r in edits.buffered_edits(changes).collect()}
+    left = {(r.path, r.value) for r in edits.unapplied_edits(profiles, changes).collect()}
+    profile = {r.artifact_id: r.profile for r in edits.apply_edits(profiles, changes).collect()}["a"]
+    assert buffered == set(log) and left <= buffered
+    text = repr(profile)
+    for path, value in log:
+        quoted = f"'{value}'"
+        assert (quoted in text) != ((path, value) in left), path
+    assert {v for _, v in left} == {"v2", "v3", "v4", "v5", "v6", "v7", "v10", "v11", "v12", "v14", "v16"}
