@@ -15,6 +15,7 @@ import sys
 import tempfile
 import time
 
+from vitaloom.plans import inputs
 from vitaloom.plans.queries import QUERIES
 from vitaloom.session import build_session
 
@@ -53,6 +54,7 @@ def main() -> None:
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
+    inputs.PARTITIONS = int(cpus)  # the test tables are one file each
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     resumes = documents + spark.read.parquet(f"{sf_dir}/customer.parquet").count()
 

@@ -63,6 +63,8 @@ def test_payload_parsing(spark, raw, name, reason):
          "missing_fields.0.reason: required"),
         ({"client_display_rules": {"email": "maybe"}},
          "client_display_rules.email: not an allowed value"),
+        ({"client_display_rules": {"email": " hide "}},
+         "client_display_rules.email: not an allowed value"),
         ({"linkedin_url": "linkedin.com/in/a"}, "linkedin_url: not an http(s) URL"),
         ({"portfolio_url": "ftp://a.b/c"}, "portfolio_url: not an http(s) URL"),
     ],

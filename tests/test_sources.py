@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vitaloom import constants as C
 from vitaloom.operators import completions, extract
 from vitaloom.session import checkpoint_for
-from vitaloom.sources import files
+from vitaloom.sources import files, tables
 from vitaloom.streaming import ingest
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -140,14 +140,10 @@ def test_completion_client(spark, tmp_path):
 def test_providers():
     seen = []
     providers = {"house": lambda settings: seen.append(settings) or Fake}
-    env = {
-        "HOUSE_API_KEY": "general", "HOUSE_MODEL": "m", "HOUSE_EXTRACT_API_KEY": "own",
-        "HOUSE_EXTRACT_MODEL": "",
-    }
-    assert completions.client_factory(providers, "House", env=env) is Fake
-    assert seen == [{"api_key": "own", "model": "m"}]
+    assert completions.client_factory(providers, "House", {"model": "m"}) is Fake
+    assert seen == [{"model": "m"}]
     with pytest.raises(ValueError, match="Unsupported provider: other"):
-        completions.client_factory(providers, "other", env=env)
+        completions.client_factory(providers, "other")
 
 
 def test_native_extraction_from_a_prompt(spark):
@@ -162,3 +158,30 @@ def test_checkpoints_stand_in_the_shared_folder(spark):
     one, other = (checkpoint_for(spark, "p", f"s3://bucket/{i}") for i in "ab")
     assert one != other and one.startswith(f"{shared}/p-")
     assert one == checkpoint_for(spark, "p", "s3://bucket/a")
+
+
+def test_other_files_are_not_listed_and_pdfs_not_read(spark, tmp_path):
+    for name in ("a.txt", "b.PDF", "c.DocX", "~$d.docx", "e.docx.bak"):
+        (tmp_path / name).write_bytes(b"no package")
+    found = files.scan_files(spark, str(tmp_path))
+    assert {r.path.rsplit("/", 1)[1] for r in found.collect()} == {"b.PDF", "c.DocX"}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.inputFiles() and not [f for f in found.inputFiles() if f.endswith((".txt", ".bak"))], plan
+    rows = {r.path.rsplit("/", 1)[1]: r for r in files.docx_text(found).collect()}
+    assert (rows["b.PDF"].text, rows["b.PDF"].error_type) == (None, files.UNSUPPORTED)
+    assert rows["c.DocX"].error_type == files.CORRUPTED
+
+
+def test_a_huge_inflated_document_is_a_reason(spark, tmp_path, monkeypatch):
+    with zipfile.ZipFile(tmp_path / "a.docx", "w", zipfile.ZIP_DEFLATED) as package:
+        package.writestr("[Content_Types].xml", "<x/>")
+        package.writestr("word/document.xml", " " * (files.MAX_DOCUMENT_BYTES + 1))
+    row = files.docx_text(files.scan_files(spark, str(tmp_path))).collect()[0]
+    assert (row.text, row.error_type) == (None, files.TOO_LARGE)
+
+
+def test_one_row_of_a_key_is_written(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "artifact_id string, n int")
+    tables.append_new(rows, str(tmp_path / "t"), "artifact_id")
+    tables.append_new(rows, str(tmp_path / "t"), "artifact_id")
+    assert sorted(r.artifact_id for r in spark.read.parquet(str(tmp_path / "t")).collect()) == ["a", "b"]

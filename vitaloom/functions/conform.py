@@ -29,6 +29,8 @@ class Shape:
 class Text(Shape):
     # (test on the trimmed string, reason when it fails)
     checks: tuple[tuple[Check, str], ...] = ()
+    # The only values there may be, if any are named.
+    allowed: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -58,8 +60,9 @@ class Record(Shape):
     fields: dict[str, Shape] = field(default_factory=dict)
 
 
-def one_of(values: tuple[str, ...]) -> tuple[tuple[Check, str], ...]:
-    return ((lambda v: v.isin(*values), "not an allowed value"),)
+def one_of(values: tuple[str, ...]) -> tuple[str, ...]:
+    """Allowed values of a text, compared as it is written, outer blanks included."""
+    return values
 
 
 def matching(pattern: str, reason: str) -> tuple[tuple[Check, str], ...]:
@@ -110,9 +113,12 @@ def _violations(value: Column, shape: Shape, path: Column) -> Column:
     kind = F.schema_of_variant(value)
     if isinstance(shape, Text):
         text = strip(F.try_variant_get(value, "$", "string"))
-        body = _if_type(
-            value, kind == "STRING", path, "a string", _run_checks(text, shape.checks, path)
-        )
+        found = _run_checks(text, shape.checks, path)
+        if shape.allowed:
+            raw = F.try_variant_get(value, "$", "string")
+            exact = ((lambda v: v.isin(*shape.allowed), "not an allowed value"),)
+            found = F.concat(_run_checks(raw, exact, path), found)
+        body = _if_type(value, kind == "STRING", path, "a string", found)
     elif isinstance(shape, Flag):
         body = _if_type(value, kind == "BOOLEAN", path, "a boolean", no_strings())
     elif isinstance(shape, Number):
@@ -263,7 +269,7 @@ PROFILE_SHAPE = Record(
                 }
             )
         ),
-        "client_display_rules": MapOf(value=Text(checks=one_of(C.DISPLAY_RULES))),
+        "client_display_rules": MapOf(value=Text(allowed=one_of(C.DISPLAY_RULES))),
     }
 )
 
@@ -283,11 +289,11 @@ BLUEPRINT_SHAPE = Record(
             required=True, whole=True, checks=((lambda v: v >= 1, "must be at least 1"),)
         ),
         "display_name": _TEXT,
-        "source_reference_type": Text(required=True, checks=one_of(C.SOURCE_TYPES)),
+        "source_reference_type": Text(required=True, allowed=one_of(C.SOURCE_TYPES)),
         "source_sha256": ListOf(
             item=Text(checks=matching(r"^[0-9a-f]{64}$", "not a lower-case SHA-256"))
         ),
-        "renderer_key": Text(required=True, checks=one_of(C.RENDERER_KEYS)),
+        "renderer_key": Text(required=True, allowed=one_of(C.RENDERER_KEYS)),
         "page": Record(
             required=True,
             fields={
@@ -320,7 +326,7 @@ BLUEPRINT_SHAPE = Record(
             ),
         ),
         "section_order": ListOf(
-            required=True, item=Text(checks=one_of(C.BLUEPRINT_SECTIONS))
+            required=True, item=Text(allowed=one_of(C.BLUEPRINT_SECTIONS))
         ),
         "field_mappings": MapOf(required=True, value=Text()),
         "skills_columns": Number(

@@ -159,7 +159,7 @@ def target_format(matched: DataFrame) -> DataFrame:
         "artifact_id": F.col("artifact_id"),
         "input_filename": F.col("input_filename"),
         "stored_filename": stored,
-        "input_type": F.substring(suffix(F.col("input_filename")), 2, 16),
+        "input_type": F.ltrim(suffix(F.col("input_filename")), F.lit(".")),
         "role": role,
         "generation_strategy": F.when(
             has_match, F.lit("registered_target_format_blueprint")

@@ -7,7 +7,6 @@ parsed, so that a retry or a later run does not repeat paid calls.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterator, Mapping
 from typing import Protocol
 
@@ -32,31 +31,14 @@ ClientFactory = Callable[[], CompletionClient]
 Providers = Mapping[str, Callable[[dict[str, str]], ClientFactory]]
 
 
-def stage_settings(
-    provider: str, stage: str = "extract", env: Mapping[str, str] | None = None
-) -> dict[str, str]:
-    """API key and model of a provider; a stage's own setting comes before the general one."""
-    env = os.environ if env is None else env
-    prefix, part = provider.upper(), stage.upper().replace("-", "_")
-    found = {}
-    for setting in ("API_KEY", "MODEL"):
-        value = env.get(f"{prefix}_{part}_{setting}") or env.get(f"{prefix}_{setting}")
-        if value:
-            found[setting.lower()] = value
-    return found
-
-
 def client_factory(
-    providers: Providers,
-    provider: str,
-    stage: str = "extract",
-    env: Mapping[str, str] | None = None,
+    providers: Providers, provider: str, settings: dict[str, str] | None = None
 ) -> ClientFactory:
     """The factory registered under a name; an unknown name fails before any job starts."""
     name = provider.lower()
     if name not in providers:
         raise ValueError(f"Unsupported provider: {name}")
-    return providers[name](stage_settings(name, stage, env))
+    return providers[name](settings or {})
 
 
 def complete(

@@ -187,11 +187,14 @@ def classic_lines(context: Column, section_order: Column, skills_columns: Column
 def lines_for(
     context: Column, renderer_key: Column, section_order: Column, skills_columns: Column
 ) -> Column:
-    """Lines by the blueprint's renderer; one pass whatever mix of templates a corpus has."""
+    """Lines by the blueprint's renderer; one pass whatever mix of templates a corpus has.
+
+    Null where the renderer is not known: such a document is refused, with its reason.
+    """
     return F.when(
         renderer_key == C.CLASSIC_RENDERER,
         classic_lines(context, section_order, skills_columns),
-    ).otherwise(apex_lines(context))
+    ).when(renderer_key.isin(*C.RENDERER_KEYS), apex_lines(context))
 
 
 def lay_out(df: DataFrame) -> DataFrame:

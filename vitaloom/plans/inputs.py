@@ -15,14 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Over all cores when the input has fewer files than there are cores.
+# A measurement over a table of one file may ask for that many partitions. Queries read
+# tables as they lie unless it is set.
+PARTITIONS: int | None = None
 
-    A small table is one file with one row group and would be one task. With more files
-    than cores, as for any large table, nothing is shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    return df if PARTITIONS is None else df.repartition(PARTITIONS, key)
 
 
 # --- derived résumés, one per customer: lines joined by line ends -----------------------
@@ -102,6 +101,15 @@ def customer_resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_blank_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, text) of all documents and, for every ninth, a further one of blanks."""
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "lang", "text")
+    blank = docs.where("doc_id % 9 = 4").selectExpr(
+        "-1 - doc_id AS doc_id", "lang", "concat(' ', chr(10), '\u3000') AS text"
+    )
+    return docs.unionByName(blank)
+
+
 def document_resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents"), "doc_id")
     return docs.selectExpr(

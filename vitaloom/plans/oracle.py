@@ -344,8 +344,8 @@ SQL["profile_json"] = with_ctes(
     "prof_m",
 )
 BLANKED = (
-    "SELECT doc_id, lang, CASE WHEN doc_id % 9 = 4 THEN concat(' ', chr(10), '　')"
-    " ELSE text END AS text FROM documents"
+    "SELECT doc_id, lang, text FROM documents UNION ALL SELECT -1 - doc_id, lang,"
+    " concat(' ', chr(10), '　') FROM documents WHERE doc_id % 9 = 4"
 )
 SQL["quarantine_empty"] = (
     f"SELECT doc_id, 'no extractable text' AS reason FROM ({BLANKED}) WHERE {strip('text')} = ''"
@@ -506,8 +506,8 @@ SQL["date_ranges"] = with_ctes(
     f"""SELECT doc_id, line_no,
   CASE WHEN regexp_matches(dates, {quote(DASH)}) THEN nullif({START}, '') ELSE {START} END
     AS start_date, nullif({END}, '') AS end_date
-FROM (SELECT doc_id, line_no, regexp_extract(line, '\\(([^)]+)\\)', 1) AS dates FROM lines)
-WHERE dates <> ''""",
+FROM (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '\\(([^)]+)\\)', 1)) AS dates
+  FROM lines)""",
     "lines",
 )
 SQL["education_entries"] = with_ctes(
@@ -879,7 +879,10 @@ SQL["layout_apex"] = with_ctes(f"{NUMBERED} ({APEX_BLOCKS})", "ctx", LAID)
 SQL["layout_classic"] = with_ctes(f"{NUMBERED} ({CLASSIC_BLOCKS})", "ctx", LAID)
 SQL["layout_lines"] = with_ctes(
     f"{NUMBERED} (SELECT * FROM ({APEX_BLOCKS}) WHERE {I.RULE_SEED} % 3 <> 1"
-    f" UNION ALL SELECT * FROM ({CLASSIC_BLOCKS}) WHERE {I.RULE_SEED} % 3 = 1)",
+    f" AND {I.RULE_SEED} % 7 <> 0 UNION ALL SELECT * FROM ({CLASSIC_BLOCKS})"
+    f" WHERE {I.RULE_SEED} % 3 = 1 AND {I.RULE_SEED} % 7 <> 0) UNION ALL SELECT doc_id, NULL, NULL,"
+    " 'refused', 'Unknown target format blueprint: unknown' FROM ctx"
+    f" WHERE {I.RULE_SEED} % 7 = 0",
     "ctx",
     LAID,
 )

@@ -167,10 +167,8 @@ def profile_json(spark, sf_dir):
 
 @query
 def quarantine_empty(spark, sf_dir):
-    """Documents, every ninth of them reduced to white space."""
-    docs = I.table(spark, sf_dir, "documents").selectExpr(
-        "doc_id", "CASE WHEN doc_id % 9 = 4 THEN concat(' ', chr(10), '\u3000') ELSE text END AS text"
-    )
+    """Documents, and for every ninth one more of white space."""
+    docs = I.with_blank_documents(spark, sf_dir)
     checked = validate.reject_empty_text(docs)
     return validate.rejected(checked).select("doc_id", "reason")
 
@@ -358,8 +356,8 @@ def date_ranges(spark, sf_dir):
     bracketed = lines.select(
         "doc_id",
         "line_no",
-        F.regexp_extract("line", r"\(([^)]+)\)", 1).alias("inner"),
-    ).where(F.col("inner") != "")
+        F.explode(F.regexp_extract_all("line", F.lit(r"\(([^)]+)\)"), F.lit(1))).alias("inner"),
+    )
     spans = bracketed.withColumn("dates", tx.date_range(F.col("inner")))
     return spans.select("doc_id", "line_no", "dates.start_date", "dates.end_date")
 
@@ -741,10 +739,23 @@ def highlights_grid(spark, sf_dir):
 
 @query
 def layout_lines(spark, sf_dir):
-    # Every third document asks for the classic template.
-    template = f"CASE WHEN {I.RULE_SEED} % 3 = 1 THEN 'client_10554236_v1' END"
+    """Lines by the template asked for; a request for an unknown one is a row with its reason.
+
+    Every third document asks for the classic template, every seventh for an unknown one.
+    """
+    template = (
+        f"CASE WHEN {I.RULE_SEED} % 7 = 0 THEN 'unknown'"
+        f" WHEN {I.RULE_SEED} % 3 = 1 THEN 'client_10554236_v1' END"
+    )
     chosen = _with_template(contexts(spark, sf_dir), spark, template)
-    return _line_rows(layout.lay_out(chosen))
+    refused = chosen.where(F.col("reason").isNotNull()).select(
+        "doc_id",
+        F.lit(None).cast("long").alias("line_no"),
+        F.lit(None).cast("string").alias("section"),
+        F.lit("refused").alias("kind"),
+        F.col("reason").alias("text"),
+    )
+    return _line_rows(layout.lay_out(chosen)).unionByName(refused)
 
 
 # --- artifact state ------------------------------------------------------------------------
@@ -827,11 +838,7 @@ def immutable_originals(spark, sf_dir):
 # --- corpus --------------------------------------------------------------------------------
 @query
 def corpus_failures(spark, sf_dir):
-    docs = I.spread(I.table(spark, sf_dir, "documents"), "doc_id").selectExpr(
-        "doc_id",
-        "lang",
-        "CASE WHEN doc_id % 9 = 4 THEN concat(' ', chr(10), '\u3000') ELSE text END AS text",
-    )
+    docs = I.with_blank_documents(spark, sf_dir)
     run = corpus.run_corpus(docs, "doc_id", "lang")
     return corpus.failure_counts(run, "lang")
 

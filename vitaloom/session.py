@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
-import zlib
 from functools import cache
 
 from pyspark.sql import SparkSession
@@ -19,6 +19,10 @@ SETTINGS = {
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Python tasks here get whole files and whole prompts; few rows fill a batch.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "64",
+    # State of streams grows with the artifacts: on executor disks, not in the heap.
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
     # Repeated keys in a JSON payload: the last one counts.
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
@@ -53,4 +57,4 @@ def _local_folder(application: str) -> str:
 
 def checkpoint_for(spark: SparkSession, purpose: str, output: str) -> str:
     """Checkpoint of the stream that serves one purpose and writes one output."""
-    return f"{shared_folder(spark)}/{purpose}-{zlib.crc32(output.encode()):08x}"
+    return f"{shared_folder(spark)}/{purpose}-{hashlib.sha256(output.encode()).hexdigest()}"

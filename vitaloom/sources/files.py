@@ -38,6 +38,9 @@ DOCX_TEXT = T.StructType(
 
 UNSUPPORTED = "UnsupportedFileType"
 CORRUPTED = "CorruptedFile"
+TOO_LARGE = "FileTooLarge"
+DOCUMENT_TOO_LARGE = "The document's text is too large to read."
+MAX_DOCUMENT_BYTES = 256 << 20
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 # Run content that stands for a character of its own.
 _MARKS = {"tab": "\t", "ptab": "\t", "cr": "\n", "noBreakHyphen": "-"}
@@ -56,7 +59,10 @@ def scan_files(spark: SparkSession, folder: str) -> DataFrame:
     metadata only.
     """
     files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "*.{[dD][oO][cC][xX],[pP][dD][fF]}")
+        .load(folder)
     )
     return files.where(is_resume_file(F.col("path")))
 
@@ -107,12 +113,13 @@ def _table_rows(table: ElementTree.Element) -> list[list[str]]:
 
 def _read_package(path: str, content: bytes) -> dict:
     row = {"path": path, "paragraphs": None, "tables": None, "error_type": None, "error": None}
-    if not path.lower().endswith(".docx"):
-        return {**row, "error_type": UNSUPPORTED, "error": C.NOT_DOCX}
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as package:
             if "[Content_Types].xml" not in package.namelist():
                 return {**row, "error_type": CORRUPTED, "error": C.DOCX_NO_CONTENT_TYPES}
+            # An inflated part beyond this is no résumé and could take the worker's memory.
+            if package.getinfo("word/document.xml").file_size > MAX_DOCUMENT_BYTES:
+                return {**row, "error_type": TOO_LARGE, "error": DOCUMENT_TOO_LARGE}
             body = ElementTree.fromstring(package.read("word/document.xml")).find(f"{_W}body")
         paragraphs = [_paragraph_text(p).strip() for p in body.iterfind(f"{_W}p")]
         tables = [_table_rows(t) for t in body.iterfind(f"{_W}tbl")]
@@ -136,7 +143,18 @@ def read_docx(files: DataFrame) -> DataFrame:
             rows = [_read_package(p, c) for p, c in zip(batch["path"], batch["content"])]
             yield pd.DataFrame(rows, columns=names)
 
-    return files.select("path", "content").mapInPandas(read, DOCX_TEXT)
+    # Only packages go to Python; other files are refused by their name, unread.
+    package = F.rlike("path", F.lit(r"(?i)\.docx\z"))
+    read_rows = files.where(package).select("path", "content").mapInPandas(read, DOCX_TEXT)
+    kinds = {f.name: f.dataType.simpleString() for f in DOCX_TEXT.fields}
+    refused = files.where(~package).select(
+        "path",
+        F.lit(None).cast(kinds["paragraphs"]).alias("paragraphs"),
+        F.lit(None).cast(kinds["tables"]).alias("tables"),
+        F.lit(UNSUPPORTED).alias("error_type"),
+        F.lit(C.NOT_DOCX).alias("error"),
+    )
+    return read_rows.unionByName(refused)
 
 
 def docx_text(files: DataFrame) -> DataFrame:

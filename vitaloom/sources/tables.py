@@ -36,9 +36,15 @@ def stored(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
 
 
 def append_new(df: DataFrame, folder: str, *keys: str) -> None:
-    """Append the rows whose key the table does not hold: a stored original stays."""
+    """Append the rows whose key the table does not hold: a stored original stays.
+
+    Of several rows of one key in `df` one is written, the same whenever the rows are.
+    """
     known = stored(df.sparkSession, folder, T.StructType([df.schema[k] for k in keys]))
-    not_yet_stored(df, known, *keys).write.mode("append").parquet(folder)
+    order = F.xxhash64(F.to_json(F.struct(*df.columns)))
+    whole = F.struct(*df.columns)
+    settled = df.groupBy(*keys).agg(F.min_by(whole, order).alias("_row")).select("_row.*")
+    not_yet_stored(settled, known, *keys).write.mode("append").parquet(folder)
 
 
 def write_process_outputs(processed: DataFrame, folder: str) -> None:
