@@ -196,68 +196,51 @@ def lay_out(spark, payload, template, blind=False):
     return [(r.section, r.kind, r.text) for r in rows]
 
 
+WELDER = {
+    "full_name": "Okoro Bright",
+    "location": "Lagos",
+    "professional_summary": "Joins steel.",
+    "skills": ["TIG", "MIG", "Rigging", "Blueprints", "Crane"],
+    "work_experience": [
+        {"company": "Dock Nine", "title": "Welder", "location": "Apapa", "start_date": "May 2018",
+         "end_date": "Jan 2023", "description": ["Built hulls.", "Trained two."]},
+        {"company": "Yard", "description": []},
+    ],
+    "education": [{"institution": "Trade School", "degree": "Diploma", "end_date": "2017"}],
+    "client_display_rules": {"salary_expectation": "hide", "notice_period": "available_upon_request",
+                             "work_authorization": "hide", "interview_availability": "hide"},
+}
+
+
 def test_apex_layout(spark):
-    lines = lay_out(
-        spark,
-        {
-            "full_name": "Jane Candidate",
-            "location": "Boston",
-            "professional_summary": "Backend engineer focused on data platforms.",
-            "skills": ["Python", "SQL"],
-            "work_experience": [
-                {"company": "DataWorks", "title": "Senior Engineer", "start_date": "2020",
-                 "end_date": "2024", "description": ["Built analytics pipelines."]}
-            ],
-            "client_display_rules": {"salary_expectation": "available_upon_request",
-                                     "notice_period": "hide", "work_authorization": "hide",
-                                     "interview_availability": "hide"},
-        },
-        "apex_standard",
-    )
-    assert [text for _, _, text in lines] == [
-        "Candidate Profile", "Jane Candidate", "Senior Engineer | Boston",
-        "Contact", "Location: Boston",
-        "Professional Summary", "Backend engineer focused on data platforms.",
-        "Skills", "Python", "SQL",
-        "Work Experience", "Senior Engineer | DataWorks | 2020 - 2024",
-        "Built analytics pipelines.",
-        "Additional Details", "Salary expectation: Available upon request",
+    lines = lay_out(spark, WELDER, "apex_standard")
+    texts = [text for _, _, text in lines]
+    assert texts[:3] == ["Candidate Profile", "Okoro Bright", "Welder | Lagos"]
+    assert texts[texts.index("Skills") + 1 :][:5] == WELDER["skills"]
+    at = texts.index("Work Experience")
+    assert texts[at + 1 : at + 5] == [
+        "Welder | Dock Nine | May 2018 - Jan 2023", "Apapa", "Built hulls.", "Trained two.",
     ]
-    assert [k for s, k, _ in lines if s == "skills"] == ["section_heading", "bullet", "bullet"]
+    assert texts[-2:] == ["Additional Details", "Notice period: Available upon request"]
+    assert {k for s, k, _ in lines if s == "skills"} == {"section_heading", "bullet"}
 
 
 def test_classic_layout(spark):
-    lines = lay_out(
-        spark,
-        {
-            "full_name": "Jane Candidate",
-            "professional_summary": "Financial accountant.",
-            "skills": ["Account reconciliations", "Financial reporting", "ERP"],
-            "work_experience": [
-                {"company": "Company Name", "title": "Accountant", "location": "City, State",
-                 "start_date": "July 2011", "end_date": "November 2012",
-                 "description": ["Resolved differences."]}
-            ],
-            "education": [{"institution": "School", "degree": "BSc", "end_date": "2010"}],
-        },
-        "client_10554236_v1",
-    )
-    texts = [text for _, _, text in lines]
-    assert texts[:4] == ["ACCOUNTANT", "Summary", "Financial accountant.", "Highlights"]
-    assert texts[4:7] == ["Account reconciliations", "ERP", "Financial reporting"]
-    assert texts[7:11] == [
-        "Experience", "Company Name July 2011 to November 2012 Accountant", "City, State",
-        "Resolved differences.",
-    ]
-    assert "School 2010 BSc" in texts
-    assert texts[-2:] == [
-        "Skills", "Account reconciliations; Financial reporting; ERP.",
-    ]
-    assert "Contact" not in texts
+    texts = [text for _, _, text in lay_out(spark, WELDER, "client_10554236_v1")]
+    assert texts[:4] == ["WELDER", "Summary", "Joins steel.", "Highlights"]
+    # Five skills in two columns: rows of the grid, filled column by column.
+    assert texts[4:9] == ["TIG", "Blueprints", "MIG", "Crane", "Rigging"]
+    assert "Dock Nine May 2018 to Jan 2023 Welder" in texts and "Apapa" in texts
+    assert "Trade School 2017 Diploma" in texts and "Contact" not in texts
+    assert texts[-2:] == ["Skills", "TIG; MIG; Rigging; Blueprints; Crane."]
     # Without a title and a location the header shows that one is pending.
     assert lay_out(spark, {}, "client_10554236_v1")[0][2] == "TO BE CONFIRMED"
 
 
+def test_unknown_template_is_refused(spark):
+    assert lay_out(spark, WELDER, "nobody_knows") == []
+
+
 @pytest.mark.parametrize("n", range(0, 8))
 @pytest.mark.parametrize("columns", [1, 2, 3, 4])
 def test_grid_is_filled_by_column(spark, n, columns):
