@@ -135,6 +135,14 @@ def test_completion_client(spark, tmp_path):
     fixed = docs.replace("fail", "Bob", "text")
     last = {r.doc_id: r for r in completions.extract_with_client(fixed, Fake, folder).collect()}
     assert last["b"].profile.full_name == "Bob" and last["b"].reason is None
+    # A changed text or model is a new prompt; the newest answer of a prompt counts.
+    changed = docs.replace("Ann", "Zoe", "text")
+    new = {r.doc_id: r for r in completions.extract_with_client(changed, Fake, folder).collect()}
+    assert new["a"].profile.full_name == "Zoe"
+    back = {r.doc_id: r for r in completions.extract_with_client(docs, Fake, folder).collect()}
+    assert back["a"].profile.full_name == "Ann"
+    other = completions.extract_with_client(docs, Never, folder, model="m").collect()
+    assert {r.reason is None for r in other} == {False}
 
 
 def test_providers():

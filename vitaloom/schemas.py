@@ -159,6 +159,13 @@ EDIT = T.StructType(
 )
 
 COMPLETION = T.StructType(_strings("doc_id", "raw_response", "error"))
+# Answers as they are kept: for which prompt and model, and in which run.
+KEPT_COMPLETION = T.StructType(
+    [
+        *_strings("doc_id", "prompt_key", "raw_response", "error"),
+        T.StructField("attempt", T.LongType()),
+    ]
+)
 
 
 def json_schema(dtype: T.DataType) -> dict:
