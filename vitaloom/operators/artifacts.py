@@ -101,6 +101,19 @@ def debug_maps(entries: DataFrame) -> DataFrame:
     )
 
 
+def with_debug_artifacts(records: DataFrame, events: DataFrame) -> DataFrame:
+    """Records with their `debug_artifacts`, an empty map where no event names a file.
+
+    Only events of the given records are looked at: look up or list first.
+    """
+    own = events.join(records.select("artifact_id"), "artifact_id", "left_semi")
+    maps = debug_maps(debug_entries(own))
+    empty = F.create_map().cast("map<string,string>")
+    return records.join(maps, "artifact_id", "left").withColumn(
+        "debug_artifacts", F.coalesce("debug_artifacts", empty)
+    )
+
+
 def lookup(state: DataFrame, artifact_id: str) -> DataFrame:
     """The artifact's row, or none; an unsafe id finds nothing.
 

@@ -1050,15 +1050,20 @@ STATE = f"""SELECT artifact_id, min(ts) AS created_at, max(ts) AS updated_at,
   {lst(newest('missing_field_labels', 'processed', 'generated'))} AS missing_field_labels
 FROM ev GROUP BY artifact_id"""
 SQL["artifact_state"] = f"WITH ev AS ({EVENTS}) {STATE}"
-SQL["artifact_lookup"] = f"WITH ev AS ({EVENTS}) SELECT * FROM ({STATE}) WHERE artifact_id = 'artifact_7'"
-SQL["recent_artifacts"] = (
-    f"WITH ev AS ({EVENTS}) SELECT * FROM ({STATE}) ORDER BY updated_at DESC, artifact_id LIMIT 50"
-)
 DEBUG_ROWS = " UNION ALL ".join(
     f"SELECT artifact_id, ts, seq, '{role}' AS name,"
     f" {I.DEBUG_LOCATION.format(role=role)} AS location FROM ev WHERE {condition}"
     for role, condition in I.DEBUG_ROLES.items()
 )
+RECORD_FILES = f"""latest AS (SELECT artifact_id, name, arg_max(location, (ts, seq)) AS location
+  FROM ({DEBUG_ROWS}) GROUP BY artifact_id, name),
+maps AS (SELECT artifact_id, string_agg(name || '=' || location, ' ~ ' ORDER BY name) AS files
+  FROM latest GROUP BY artifact_id)"""
+RECORD = f"""WITH ev AS ({EVENTS}), {RECORD_FILES}
+SELECT s.*, coalesce(files, '') AS debug_artifacts FROM ({STATE}) s
+  LEFT JOIN maps USING (artifact_id)"""
+SQL["artifact_lookup"] = f"{RECORD} WHERE artifact_id = 'artifact_7'"
+SQL["recent_artifacts"] = f"{RECORD} ORDER BY updated_at DESC, artifact_id LIMIT 50"
 SQL["debug_artifact_map"] = f"""WITH ev AS ({EVENTS}), files AS ({DEBUG_ROWS}),
 latest AS (SELECT artifact_id, name, arg_max(location, (ts, seq)) AS location FROM files
   GROUP BY artifact_id, name)

@@ -765,6 +765,10 @@ def _flat_state(state: DataFrame) -> DataFrame:
     ).withColumn("needs_review_count", F.col("needs_review_count").cast("long"))
 
 
+def _flat_record(records: DataFrame) -> DataFrame:
+    return _flat_state(records).withColumn("debug_artifacts", map_text(F.col("debug_artifacts")))
+
+
 @query
 def artifact_state(spark, sf_dir):
     return _flat_state(artifacts.artifact_state(I.artifact_events(spark, sf_dir)))
@@ -780,14 +784,16 @@ def debug_artifact_map(spark, sf_dir):
 
 @query
 def artifact_lookup(spark, sf_dir):
-    state = artifacts.artifact_state(I.artifact_events(spark, sf_dir))
-    return _flat_state(artifacts.lookup(state, "artifact_7"))
+    events = I.artifact_events(spark, sf_dir)
+    found = artifacts.lookup(artifacts.artifact_state(events), "artifact_7")
+    return _flat_record(artifacts.with_debug_artifacts(found, events))
 
 
 @query
 def recent_artifacts(spark, sf_dir):
-    state = artifacts.artifact_state(I.artifact_events(spark, sf_dir))
-    return _flat_state(artifacts.recent(state))
+    events = I.artifact_events(spark, sf_dir)
+    found = artifacts.recent(artifacts.artifact_state(events))
+    return _flat_record(artifacts.with_debug_artifacts(found, events))
 
 
 @query
