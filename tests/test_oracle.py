@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
+from vitaloom.plans.oracle import SQL as ORACLE
+from vitaloom.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = (
@@ -29,12 +31,12 @@ def plain(value):
     return round(value, 6) if isinstance(value, float) else value
 
 
-@pytest.mark.parametrize("name", sorted(entry_module.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, duck, name):
-    cursor = duck.execute(entry_module.oracle_sql()[name])
+    cursor = duck.execute(ORACLE[name])
     columns = [c[0] for c in cursor.description]
     expected = [dict(zip(columns, row)) for row in cursor.fetchall()]
-    df = entry_module.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     assert sorted(df.columns) == sorted(columns)
     order = sorted(columns)
     got = sorted(repr([plain(r[c]) for c in order]) for r in df.collect())
@@ -44,3 +46,9 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_entry(spark):
     assert entry_module.entry(spark).count() > 0
+
+
+def test_every_query_is_offered_with_its_sql():
+    assert set(QUERIES) <= set(entry_module.queries())
+    assert set(ORACLE) <= set(entry_module.oracle_sql())
+    assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
