@@ -260,7 +260,7 @@ def near_duplicates(
     A text of fewer than five words is one shingle of all its words. A null or empty text,
     or one of blanks, has no shingle, is linked with nothing and kept. A row without an id
     is its own component (null) and kept. Rows that repeat an id are each returned, with the
-    component of that id. An empty table gives an empty table.
+    component of that id; where their texts differ, the greatest is compared. An empty table gives an empty table.
     """
     rows = stored(signed(docs, id_col, text_col), "signed")
     # One representative for each distinct set: the least id that has it.
@@ -289,7 +289,10 @@ def near_duplicates(
     narrow = docs.select(
         F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")
     )
-    texts = stored(narrow.join(met, "rep", "left_semi").dropDuplicates(["rep"]), "texts")
+    texts = stored(
+        narrow.join(met, "rep", "left_semi").groupBy("rep").agg(F.max("text").alias("text")),
+        "texts",
+    )
     links = stored(_linked(stars, texts), "links")
     first = components(links)
 
