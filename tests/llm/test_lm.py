@@ -55,3 +55,20 @@ def test_filter_grows_to_its_bound():
     full = lm.filter_of(keys, ones, 256)
     assert len(full) == 256 and (lm.quantised(keys, full) > 0).all()
     assert len(lm.filter_of(keys[:0], ones[:0], 256)) == 8
+
+
+def test_seen_and_unseen_bigrams_differ_whatever_the_size(spark, monkeypatch):
+    """The filter of the corpus has no bound of its own; one of 4 KB, if there were any, would
+    answer yes to every bigram."""
+    monkeypatch.setattr(lm, "MAX_FILTER_BYTES", 4096, raising=False)
+    rows = [(i, words(i, 400, 50)) for i in range(200)] + [(1000, words(7, 400, 50))]
+    shuffled = words(7, 400, 50).split()
+    np.random.default_rng(1).shuffle(shuffled)
+    rows.append((next(i for i in range(2000, 3000) if zlib.crc32(str(i).encode()) % 7 == 2), " ".join(shuffled)))
+    got = {r.doc_id: r for r in lm.score(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    seen, unseen = got[1000], got[rows[-1][0]]
+    assert seen.base_score == unseen.base_score or math.isclose(seen.base_score, unseen.base_score)
+    assert seen.score - unseen.score > 50
+    pairs = collections.Counter(p for i, t in rows[:-1] if not got[i].held_out for p in zip(t.split(), t.split()[1:]))
+    fresh = sum(pairs[p] == 0 for p in zip(shuffled, shuffled[1:]))
+    assert fresh > 200

@@ -5,13 +5,15 @@
 2. Each block gives its words with their training counts, one row a word. Summed over all
    blocks and joined back by word they give each block the exact counts of its own words, so
    no task and no broadcast ever holds the vocabulary of the corpus.
-3. Each block gives its distinct training bigrams as hashes with counts, packed by SEGMENT of
-   the hash. A segment's counts are summed, quantised to level q = 1 + floor(log_BASE(count))
-   and stored in the segment's Bloom filter as the q entries (bigram, 1) ... (bigram, q).
-   The filter grows with the bigrams, at BITS_PER_ENTRY, up to MAX_FILTER_BYTES in all, which
-   is the bound of what is collected and broadcast; beyond it, false positives grow instead.
-4. Scoring probes the filter with (bigram, 1), (bigram, 2), ... until a probe fails, which
-   gives the quantised count, and interpolates it with the smoothed unigram probability.
+3. Each block gives its distinct bigrams as hashes with their training counts, packed by
+   SEGMENT of the hash. A segment's counts are summed, quantised to level
+   q = 1 + floor(log_BASE(count)) and put into the segment's Bloom filter as the q entries
+   (bigram, 1) ... (bigram, q), at BITS_PER_ENTRY for every entry, however many there are.
+4. The same task probes the segment's filter with (bigram, 1), (bigram, 2), ... until a probe
+   fails, for the bigrams of each block, and sends the levels back to the block: the filter
+   as a whole is nowhere held. The number of segments grows with the tokens, so a segment
+   does not.
+5. Scoring interpolates the quantised counts with the smoothed unigram probability.
 """
 
 from __future__ import annotations
@@ -32,7 +34,6 @@ BLOCK_BYTES = 4 << 20
 BASE = 1.5
 BITS_PER_ENTRY = 10
 PROBES = 7
-MAX_FILTER_BYTES = 64 << 20
 # Weight of the bigram estimate beside the unigram estimate.
 BIGRAM_WEIGHT = 0.4
 # Bigrams of all blocks that one segment gets, on average, at most.
@@ -180,10 +181,12 @@ def _places(keys: np.ndarray, level: int, size: int) -> Iterator[np.ndarray]:
         yield (one + np.uint64(i) * other) % np.uint64(size)
 
 
-def filter_of(keys: np.ndarray, counts: np.ndarray, most_bytes: int) -> np.ndarray:
-    """The bytes of a filter that holds the quantised counts of distinct keys."""
+def filter_of(keys: np.ndarray, counts: np.ndarray, most_bytes: int | None = None) -> np.ndarray:
+    """The bytes of a filter that holds the quantised counts of distinct keys; as many as the
+    entries need unless the caller sets a bound."""
     levels = 1 + np.floor(np.log(counts) / np.log(BASE) + 1e-9).astype(np.int64)
-    size = min(int(levels.sum()) * BITS_PER_ENTRY // 8 + 8, most_bytes)
+    size = int(levels.sum()) * BITS_PER_ENTRY // 8 + 8
+    size = size if most_bytes is None else min(size, most_bytes)
     bits = np.zeros(size, np.uint8)
     for level in range(1, int(levels.max(initial=0)) + 1):
         for places in _places(keys[levels >= level], level, size * 8):
@@ -194,8 +197,8 @@ def filter_of(keys: np.ndarray, counts: np.ndarray, most_bytes: int) -> np.ndarr
 _BIT = (1 << np.arange(8)).astype(np.uint8)
 
 
-def quantised(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Counts by the levels up to the first that fails; 0 where there is none."""
+def levels_of(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The levels up to the first that fails; 0 where there is none."""
     levels = np.zeros(len(keys), np.int64)
     left, level = np.arange(len(keys)), 1
     while len(left):
@@ -207,66 +210,82 @@ def quantised(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
         level += 1
         if level > 200:  # a filter that is full answers yes for ever
             break
+    return levels
+
+
+def _count_of(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 0, BASE ** (levels - 1.0), 0.0)
 
 
-def _segment(keys: np.ndarray, segments: int) -> np.ndarray:
-    return (keys >> np.uint64(40)) % np.uint64(segments)
+def quantised(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Counts by the levels of the keys."""
+    return _count_of(levels_of(keys, bits))
+
+
+def _by_segment(block: _Block, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct bigrams in the order of their segments, the segment of each, and the place of
+    each token's bigram in that order."""
+    keys, places = np.unique(block.bigrams(), return_inverse=True)
+    of = ((keys >> np.uint64(40)) % np.uint64(segments)).astype(np.int64)
+    order = np.argsort(of, kind="stable")
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    return keys[order], of[order], back[places]
 
 
 def _bigram_rows(segments: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _ in _each_block(batches):
-            keys, counts = np.unique(block.bigrams()[block.training()], return_counts=True)
-            of = _segment(keys, segments).astype(np.int64)
-            order = np.argsort(of, kind="stable")
-            keys, counts, of = keys[order], counts[order].astype(np.uint32), of[order]
+            keys, of, places = _by_segment(block, segments)
+            counts = np.bincount(places[block.training()], minlength=len(keys)).astype(np.uint32)
             present, starts = np.unique(of, return_index=True)
             ends = [*starts[1:], len(of)]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(present, pa.int64()),
+                    pa.array(np.full(len(present), block.block_id, np.int64)),
                     pa.array([keys[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()),
                     pa.array([counts[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()),
                 ],
-                names=["segment", "keys", "counts"],
+                names=["segment", "block_id", "keys", "counts"],
             )
 
     return run
 
 
-def _fill(most_bytes: int):
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table["keys"]])
-        counts = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table["counts"]])
-        distinct, places = np.unique(keys, return_inverse=True)
-        sums = np.bincount(places, weights=counts)
-        return pa.table(
-            {
-                "segment": pa.array([key[0].as_py()], pa.int64()),
-                "bits": pa.array([filter_of(distinct, sums, most_bytes).tobytes()], pa.binary()),
-            }
-        )
-
-    return run
+def _levels(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Fills the filter of a segment and probes it for the bigrams of each block."""
+    parts = [np.frombuffer(x.as_py(), np.uint64) for x in table["keys"]]
+    counts = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table["counts"]])
+    distinct, places = np.unique(np.concatenate(parts), return_inverse=True)
+    sums = np.bincount(places, weights=counts)
+    bits = filter_of(distinct[sums > 0], sums[sums > 0])
+    found = levels_of(distinct, bits).astype(np.uint8)[places]
+    cuts = np.cumsum([0, *map(len, parts)])
+    return pa.table(
+        {
+            "block_id": table["block_id"],
+            "segment": pa.array(np.full(len(parts), key[0].as_py(), np.int64)),
+            "levels": pa.array([found[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
+        }
+    )
 
 
-def bigram_filter(made: DataFrame, n_tokens: int) -> list[bytes | None]:
-    """The filters of all segments, MAX_FILTER_BYTES in all at most."""
+def levels_of_blocks(made: DataFrame, n_tokens: int) -> tuple[DataFrame, int]:
+    """(block_id, levels) with the levels of the block's bigrams by segment; how many segments."""
     segments = LEAST_SEGMENTS
-    while segments * SEGMENT_BIGRAMS < n_tokens and segments * 1024 < MAX_FILTER_BYTES:
+    while segments * SEGMENT_BIGRAMS < n_tokens:
         segments *= 2
-    rows = made.mapInArrow(_bigram_rows(segments), "segment bigint, keys binary, counts binary")
-    filled = stored(
-        rows.groupBy("segment").applyInArrow(
-            _fill(MAX_FILTER_BYTES // segments), "segment bigint, bits binary"
-        ),
-        "filter",
+    rows = made.mapInArrow(
+        _bigram_rows(segments), "segment bigint, block_id bigint, keys binary, counts binary"
     )
-    out: list[bytes | None] = [None] * segments
-    for row in filled.collect():
-        out[row.segment] = bytes(row.bits)
-    return out
+    found = rows.groupBy("segment").applyInArrow(
+        _levels, "block_id bigint, segment bigint, levels binary"
+    )
+    levels = found.groupBy("block_id").agg(
+        F.collect_list(F.struct("segment", "levels")).alias("levels")
+    )
+    return levels, segments
 
 
 # --- scores --------------------------------------------------------------------------------
@@ -277,21 +296,15 @@ _SCORE_DDL = (
 )
 
 
-def _scores(n: int, v: int, filters):
+def _scores(n: int, v: int, segments: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [None if f is None else np.frombuffer(f, np.uint8) for f in filters.value]
         for block, row in _each_block(batches):
             counts = np.zeros(len(block.words))
             counts[np.array(row["numbers"] or [], np.int64)] = row["counts"] or []
             plain = (counts + 1) / (n + v + 1)
-            keys, places = np.unique(block.bigrams(), return_inverse=True)
-            found = np.zeros(len(keys))
-            of = _segment(keys, len(parts)).astype(np.int64)
-            order = np.argsort(of, kind="stable")
-            cuts = np.searchsorted(of[order], np.arange(len(parts) + 1))
-            for part, a, b in zip(parts, cuts, cuts[1:]):
-                if part is not None and b > a:
-                    found[order[a:b]] = quantised(keys[order[a:b]], part)
+            _, _, places = _by_segment(block, segments)
+            parts = sorted((x["segment"], x["levels"]) for x in row["levels"])
+            found = _count_of(np.frombuffer(b"".join(x for _, x in parts), np.uint8).astype(np.int64))
             before, after = counts[block.contexts()], counts[block.tokens]
             pairs = np.minimum(found[places], np.minimum(before, after))
             with np.errstate(divide="ignore", invalid="ignore"):
@@ -335,5 +348,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     made = blocks(docs, id_col, text_col)
     counts, n, v = counts_of_blocks(made)
-    filters = docs.sparkSession.sparkContext.broadcast(bigram_filter(made, n))
-    return made.join(counts, "block_id", "left").mapInArrow(_scores(n, v, filters), _SCORE_DDL)
+    levels, segments = levels_of_blocks(made, n)
+    return (
+        made.join(counts, "block_id", "left")
+        .join(levels, "block_id")
+        .mapInArrow(_scores(n, v, segments), _SCORE_DDL)
+    )
