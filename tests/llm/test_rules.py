@@ -106,3 +106,33 @@ def test_chi_square():
 def test_no_python_in_the_plan(spark):
     df = rules.judged(spark.createDataFrame(corpus()[:5], "doc_id bigint, text string, lang string, source string"))
     assert not re.search("Python|Arrow|Pandas", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_repeated_words_alone_are_an_outlier(spark):
+    """Repeated words go in a group where no other text repeats anything; one line stays."""
+
+    def lined(ws):
+        return "\n".join(" ".join(ws[i : i + 5]) for i in range(0, len(ws), 5))
+
+    rows = [(i, lined(words(i, 200 + i % 90, 10**6).split())) for i in range(300)]
+    rows.append((1000, "only\n" * 0 + "\n".join(f"w{i}" if i % 10 == 0 else "a b" for i in range(150))))
+    some = words(2000, 150, 10**6).split()
+    rows.append((1001, lined(some + words(2001, 3, 10**6).split() + some[:45])))
+    once = words(2002, 200, 10**6).split()
+    rows.append((1002, lined(once[:195] + once[:5])))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'en' AS lang", "'s' AS source")
+    got = {r.doc_id: r for r in rules.judged(df).collect()}
+    assert all(got[i].kept for i in range(300)) and got[1002].n_dup_lines == 1 and got[1002].kept
+    assert not got[1001].base_failed and got[1001].n_dup_lines == 0 and not got[1001].kept
+
+
+def test_duplicate_lines_alone_are_an_outlier(spark):
+    """Lines of two words have no window of three of their own, and are shuffled among others."""
+    rows = [(i, "\n".join(words(i, 240, 10**6).split())) for i in range(300)]
+    doubled = words(5000, 160, 10**6).split()
+    rows.append((1000, "\n".join(doubled + doubled[:80][::-1])))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'en' AS lang", "'s' AS source")
+    got = {r.doc_id: r for r in rules.judged(df).collect()}
+    one = got[1000]
+    assert one.n_dup_lines == 80 and one.n_repeat_words == 0 and not one.base_failed
+    assert not one.kept and all(got[i].kept for i in range(300))

@@ -33,13 +33,15 @@ LEAST_GROUP = 100
 _BLANKS = "\t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
 # Statistic -> the scatter every group is granted, in squares added to the covariance. Most
-# texts have no repeated line at all, and a single one must not lie infinitely far away.
+# texts have no repeated line at all, and a single one must not lie infinitely far away. Each is
+# so small that the statistic can reject by itself: in a group without any scatter of its own,
+# a text goes when a sixth of its lines are duplicates, or a sixth of its words repeated.
 GRANTED = {
     "log_words": 0.25,
     "log_word_chars": 0.1,
     "symbols": 0.06,
-    "dup_lines": 0.2,
-    "repeats": 0.15,
+    "dup_lines": 0.08,
+    "repeats": 0.08,
 }
 _NAMES = tuple(GRANTED)
 
