@@ -1,3 +1,5 @@
+import os
+
 from tests.llm.helpers import empty, frame, with_clashes, words
 from vitaloom.llm import licenses as L
 
@@ -31,3 +33,25 @@ def test_repeated_rows_no_ids_and_empty_tables(spark):
     assert got == sorted([(1, "LicenseRef-All-Rights-Reserved"), (1, None), (None, "LicenseRef-All-Rights-Reserved")], key=repr)
     assert L.scan(empty(spark)).count() == 0
     assert [r.notices for r in L.scan(df, L.known_digests(spark).limit(0)).collect()] == [[]] * 3
+
+
+def test_whole_texts_of_common_licenses(spark):
+    folder = "/usr/share/common-licenses/"
+    files = {"Apache-2.0": "Apache-2.0", "GPL-3": "GPL-3.0-only", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    there = {i: f for i, f in enumerate(files) if os.path.exists(folder + f)}
+    texts = {i: open(folder + f, encoding="utf-8").read() for i, f in there.items()}
+    bsd = next(t for i, _, t in L.KNOWN if i == "BSD-3-Clause")
+    texts[100] = bsd.replace("<year>, <owner>", "2020, J. Smith Inc. All rights reserved.")
+    got = {r.doc_id: r.license_id for r in L.scan(frame(spark, texts)).collect()}
+    assert got == {i: files[f] for i, f in there.items()} | {100: "BSD-3-Clause"}
+    assert {i for i, _, _ in L.KNOWN_DIGESTS} >= set(files.values())
+
+
+def test_only_the_copyright_statement_goes():
+    lines = L.canonical_lines
+    assert lines("Copyright (c) 2020 X. All rights reserved.") == [["all", "rights", "reserved"]]
+    assert lines("(c) 2021 Y. Licensed under the MIT License.") == [["licensed", "under", "the", "mit", "license"]]
+    assert lines("(c) You must keep notices") == [["c", "you", "must", "keep", "notices"]]
+    assert lines("copyright notice and this list") == [["copyright", "notice", "and", "this", "list"]]
+    assert lines("Copyright 2020 J. Smith, K. Doe Inc.\n© 2019-2021 Z\n(C) COPYRIGHT 2020 Q") == []
+    assert L.canonical("a\n(c) one") != L.canonical("a\n(c) two")
