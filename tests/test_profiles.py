@@ -262,6 +262,25 @@ def test_corpus_run_keeps_every_document(spark):
     }
 
 
+def test_corpus_run_extracts_validates_and_lays_out(spark, monkeypatch):
+    docs = spark.createDataFrame(
+        [(1, "apex_standard", "Ann\nSkills: SQL"), (2, "nothing", "Bob\nSkills: SQL"), (3, "nothing", " ")],
+        "doc_id int, wanted string, text string",
+    )
+    run = corpus.run_corpus(docs, "doc_id", "wanted", template=F.col("wanted"))
+    rows = {r.doc_id: r for r in run.collect()}
+    assert rows[1].reason is None and rows[1].n_lines > 3
+    assert rows[2].reason == "Unknown target format blueprint: nothing" and rows[2].context is None
+    assert rows[3].reason == validate.EMPTY_TEXT
+    # A profile that breaks the schema, as an extractor of other links would yield it.
+    real = corpus.extract_profiles
+    monkeypatch.setattr(corpus, "extract_profiles", lambda *args: real(*args).withColumn(
+        "profile", F.col("profile").withField("portfolio_url", F.lit("ftp://x"))
+    ))
+    broken = {r.doc_id: r.reason for r in corpus.run_corpus(docs, "doc_id").collect()}
+    assert "portfolio_url" in broken[1] and broken[3] == validate.EMPTY_TEXT
+
+
 def test_file_name_checks(spark):
     names = ["a.docx", "A.PDF", ".pdf", "x.docx.txt", "b.", "dir.pdf/a", "ü 1.DocX"]
     rows = spark.createDataFrame([(n,) for n in names], "n string").select(

@@ -6,27 +6,60 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitaloom import constants as C
+from vitaloom.functions import conform
+from vitaloom.functions.remember import remembered
 from vitaloom.functions.rules import ledger
+from vitaloom.operators.blueprints import effective_template
 from vitaloom.operators.extract import extract_profiles
+from vitaloom.operators.layout import lay_out
 from vitaloom.operators.render import with_context
 from vitaloom.operators.validate import reject_empty_text
+from vitaloom.templates import built_in_registry
 
 
-def run_corpus(docs: DataFrame, *keep: str, blind: Column | bool = True) -> DataFrame:
-    """Every document through extraction and rendering; a failure is a `reason`, not a stop.
+NO_LINES = "no line was laid out"
 
-    The result has one row per input row: `profile` and `context`, or `reason`.
+
+def run_corpus(
+    docs: DataFrame,
+    *keep: str,
+    blind: Column | bool = True,
+    template: Column | str = C.DEFAULT_TEMPLATE,
+) -> DataFrame:
+    """Every document from extraction to its lines; a failure is a `reason`, not a stop.
+
+    The result has one row per input row: `profile`, `context` and `n_lines`, or `reason`. An
+    empty text, a profile that breaks the strict schema, an unknown template and a layout
+    without a line are failures, in this order. `template` may be a column of `keep`.
     """
+    template = template if isinstance(template, Column) else F.lit(template)
     checked = reject_empty_text(docs)
-    staged = extract_profiles(checked, *keep, "reason")
-    rendered = with_context(staged, blind)
-    ok = F.col("reason").isNull()
-    return rendered.select(
-        *keep,
-        F.when(ok, F.col("profile")).alias("profile"),
-        F.when(ok, F.col("context")).alias("context"),
+    staged = extract_profiles(checked, *keep, "reason").withColumnRenamed("reason", "_empty")
+    profiled = staged.withColumn("_payload", F.to_variant_object("profile")).withColumn(
+        "_violations", F.array_join(_violations(), "; ")
+    )
+    asked = with_context(profiled, blind, template).withColumns(
+        {"template_name": template, "_matched": F.lit(None).cast("string")}
+    )
+    chosen = effective_template(asked, built_in_registry(docs.sparkSession), "_matched")
+    laid = lay_out(chosen).withColumn("n_lines", F.size("lines")).withColumn(
         "reason",
+        F.coalesce(
+            "_empty",
+            F.nullif("_violations", F.lit("")),
+            "reason",
+            F.when(F.coalesce(F.col("n_lines"), F.lit(0)) <= 0, F.lit(NO_LINES)),
+        ),
     )
+    ok = F.col("reason").isNull()
+    return laid.select(
+        *keep, *[F.when(ok, F.col(c)).alias(c) for c in ("profile", "context", "n_lines")], "reason"
+    )
+
+
+@remembered
+def _violations() -> Column:
+    return conform.violations(F.col("_payload"), conform.PROFILE_SHAPE)
 
 
 def failure_counts(run: DataFrame, *by: str) -> DataFrame:
