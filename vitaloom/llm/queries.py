@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitaloom.llm import bpe, decontaminate, licenses, lm, minhash, preferences, quality, rules, substrings, warc
+from vitaloom.llm import bpe, collocations, decontaminate, licenses, lm, minhash, preferences
+from vitaloom.llm import prefixes, quality, rules, substrings, toxicity, warc
 from vitaloom.plans.inputs import table
 
 
@@ -70,6 +71,26 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(table(spark, sf_dir, "documents"))
 
 
+def op11_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.prefix_trie(table(spark, sf_dir, "conversations")).drop("node")
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.withColumns(
+        {
+            "n_offending": F.size("offending").cast("long"),
+            "offending": F.array_join(
+                F.transform("offending", lambda x: F.concat(x["start"], F.lit(":"), x["end"])), ","
+            ),
+        }
+    )
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_decontaminate": op2_decontaminate,
@@ -81,6 +102,9 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_lm": op9_lm,
     "op10_rules": op10_rules,
+    "op11_prefixes": op11_prefixes,
+    "op12_toxicity": op12_toxicity,
+    "op13_collocations": op13_collocations,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -182,4 +206,72 @@ SELECT p.pair_id, p.n AS n_prefix,
     FROM spans d WHERE d.pair_id = p.pair_id AND side = 'r' AND role = 'assistant'), '') END
     AS rejected_spans
 FROM prefix p""",
+    "op11_prefixes": """
+WITH turns AS (SELECT conv_id, turn, octet_length(encode(coalesce(text, ''))) AS n_bytes,
+    sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, ''))[1:32]
+      AS digest
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS p
+  FROM turns),
+sizes AS (SELECT conv_id, count(*) AS n FROM own GROUP BY ALL),
+-- crc32 of the decimal digits, bit by bit
+ids AS (SELECT conv_id, conv_id - conv_id % 5 AS base, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda crc, c: list_reduce(list_prepend(xor(crc, c), range(8)),
+      lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))) % 9 AS h
+  FROM sizes),
+placed AS (
+  SELECT i.conv_id, o.p, o.digest, o.n_bytes FROM ids i JOIN own o ON o.conv_id = i.base AND o.p <= h
+  UNION ALL
+  SELECT i.conv_id, o.p - h + least(h, coalesce(b.n, 0)), o.digest, o.n_bytes
+  FROM ids i JOIN own o ON o.conv_id = i.conv_id AND o.p > h LEFT JOIN sizes b ON b.conv_id = i.base),
+rebuilt AS (SELECT i.conv_id,
+    coalesce(list(digest ORDER BY p) FILTER (p IS NOT NULL), []) AS path,
+    coalesce(list(n_bytes ORDER BY p) FILTER (p IS NOT NULL), []) AS lengths
+  FROM ids i LEFT JOIN placed USING (conv_id) GROUP BY i.conv_id),
+prefixes AS (SELECT conv_id, len(path) AS size, d AS depth, array_to_string(path[1:d], '') AS node,
+    CASE WHEN d > 0 THEN array_to_string(path[1:d - 1], '') END AS parent,
+    CASE WHEN d > 0 THEN lengths[d] ELSE 0 END AS n_bytes
+  FROM (SELECT *, unnest(range(0, len(path) + 1)) AS d FROM rebuilt)),
+nodes AS (SELECT node, depth, any_value(parent) AS parent, any_value(n_bytes) AS n_bytes,
+    min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (size = depth), ''))
+      AS ends_sha256
+  FROM prefixes GROUP BY node, depth),
+children AS (SELECT parent AS node, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+subtrees AS (SELECT p.node, count(*) FILTER (c.n IS NULL) AS n_leaves,
+    sum((n.n_convs - 1) * n.n_bytes) AS saved
+  FROM nodes n JOIN prefixes p ON p.conv_id = n.conv_id AND p.depth <= n.depth
+  LEFT JOIN children c ON c.node = n.node GROUP BY ALL)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children,
+  s.n_leaves, s.saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN subtrees s USING (node) LEFT JOIN children c USING (node)
+LEFT JOIN nodes p ON p.node = n.parent""",
+    "op13_collocations": rf"""
+WITH pieces AS (SELECT row_number() OVER () AS id, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws
+  FROM (SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+sizes AS (SELECT lang, sum(len(ws))::HUGEINT AS n FROM pieces GROUP BY ALL),
+grams AS (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase
+  FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i
+    FROM pieces, (SELECT unnest(range(1, 6)) AS m) WHERE len(ws) >= m)),
+f AS (SELECT lang, phrase, m, count(*)::HUGEINT AS c FROM grams GROUP BY ALL HAVING count(*) >= 100),
+parts AS (SELECT lang, phrase, m, c, string_split(phrase, ' ') AS ws FROM f WHERE m > 1),
+cuts AS (SELECT lang, phrase, c, k, array_to_string(ws[1:k], ' ') AS head,
+    array_to_string(ws[k + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM parts)),
+scored AS (SELECT x.lang, x.phrase, x.c AS a, h.c AS l, t.c AS r, n,
+    (1000 * x.c * n) // (h.c * t.c) AS score, k
+  FROM cuts x JOIN f h ON h.lang = x.lang AND h.phrase = head
+  JOIN f t ON t.lang = x.lang AND t.phrase = tail JOIN sizes s ON s.lang = x.lang),
+worst AS (SELECT * FROM scored
+  QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, array_to_string(ws[i:i + w - 1], ' ') AS phrase, max(c) AS c
+  FROM (SELECT *, unnest(range(1, m - w + 2)) AS i
+    FROM (SELECT *, unnest(range(2, m)) AS w FROM parts)) GROUP BY ALL),
+left_ AS (SELECT w.* FROM worst w LEFT JOIN inner_ i ON i.lang = w.lang AND i.phrase = w.phrase
+  WHERE i.c IS NULL OR 100 * i.c < 100 * w.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+  a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM left_ QUALIFY rank <= 2000""",
 }
