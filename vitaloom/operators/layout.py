@@ -6,8 +6,6 @@ is (section, kind, text); `positions` turns the arrays into rows.
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -178,10 +176,21 @@ def classic_lines(context: Column, section_order: Column, skills_columns: Column
             ),
         )),
     }
-    table = F.create_map(*chain(*[(F.lit(k), v) for k, v in by_section.items()]))
-    return F.flatten(
-        F.transform(section_order, lambda s: F.try_element_at(table, s))
-    )
+    return _in_order(by_section, section_order)
+
+
+def _in_order(by_section: dict[str, Column], section_order: Column) -> Column:
+    """The lines of the sections at all their positions in the order; names it does not know
+    have none. Each section's lines are computed once for each position that asks for them."""
+
+    def placed(name: str, lines: Column) -> Column:
+        named = F.transform(section_order, lambda s, i: F.when(s == name, i))
+        return F.transform(
+            F.array_compact(named), lambda i: F.struct(i.alias("i"), lines.alias("lines"))
+        )
+
+    parts = F.concat(*[placed(name, lines) for name, lines in by_section.items()])
+    return F.flatten(F.transform(F.array_sort(parts), lambda part: part["lines"]))
 
 
 def lines_for(
