@@ -55,7 +55,11 @@ def artifact_state(events: DataFrame) -> DataFrame:
         order = F.when(F.col("event_type").isin(*writers), event_order())
         # Rows of other writers have a null order, which max_by passes over.
         aggregates.append(F.max_by(F.struct(*columns), order).alias(f"_g{i}"))
-    state = events.groupBy("artifact_id").agg(*aggregates)
+    return _finished(events.groupBy("artifact_id").agg(*aggregates))
+
+
+def _finished(state: DataFrame) -> DataFrame:
+    """The columns of an artifact from its newest groups of values."""
     written = {
         column: F.col(f"_g{i}.{column}")
         for i, columns in enumerate(WRITTEN_BY.values())
@@ -75,6 +79,55 @@ def artifact_state(events: DataFrame) -> DataFrame:
     )
 
 
+# --- state that merges with later state -----------------------------------------------------
+# A part of an artifact: its columns (name is null), or one of its debug files. Values keep the
+# order of the event they come from, so that parts of a log merge in any order, a part that is
+# merged twice changes nothing, and what results is the state of the whole log.
+
+
+def partial_state(events: DataFrame) -> DataFrame:
+    """(artifact_id, name, created_at, updated_at, _g0, _g1, ..., file) of a part of the log."""
+    files = F.transform(
+        F.map_entries("debug_artifacts"),
+        lambda e: F.struct(e["key"].alias("name"), e["value"].alias("location")),
+    )
+    none = F.struct(F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("location"))
+    rows = events.select(
+        "*", F.explode(F.concat(F.array(none), F.coalesce(files, F.slice(F.array(none), 1, 0)))).alias("_file")
+    )
+    own = F.col("_file.name").isNull()
+    given = [F.when(own, F.col("ts")).alias("created_at"), F.when(own, F.col("ts")).alias("updated_at")]
+    for i, (writers, columns) in enumerate(WRITTEN_BY.items()):
+        value = F.struct("ts", "seq", *columns)
+        given.append(F.when(own & F.col("event_type").isin(*writers), value).alias(f"_g{i}"))
+    file = F.when(~own, F.struct("ts", "seq", "_file.location"))
+    return merged_state(
+        rows.select("artifact_id", F.col("_file.name").alias("name"), *given, file.alias("file"))
+    )
+
+
+def merged_state(parts: DataFrame, *keys: str) -> DataFrame:
+    """Parts of the same artifact and name as one; `keys` are further grouping columns."""
+    groups = [*(f"_g{i}" for i in range(len(WRITTEN_BY))), "file"]
+    newest = [
+        F.max_by(g, F.when(F.col(g).isNotNull(), F.struct(f"{g}.ts", f"{g}.seq"))).alias(g)
+        for g in groups
+    ]
+    return parts.groupBy(*keys, "artifact_id", "name").agg(
+        F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at"), *newest
+    )
+
+
+def state_of(parts: DataFrame) -> DataFrame:
+    """`artifact_state` of merged parts."""
+    return _finished(parts.where(F.col("name").isNull()))
+
+
+def debug_entries_of(parts: DataFrame) -> DataFrame:
+    """`debug_entries` of merged parts."""
+    return parts.where(F.col("name").isNotNull()).select("artifact_id", "name", "file.location")
+
+
 def debug_entries(events: DataFrame) -> DataFrame:
     """(artifact_id, name, location): the newest location per artifact and file role."""
     return (

@@ -207,9 +207,12 @@ def unapplied_edits(profiles: DataFrame, edits: DataFrame) -> DataFrame:
     )
 
 
-def apply_edits(profiles: DataFrame, edits: DataFrame) -> DataFrame:
+def apply_edits(profiles: DataFrame, edits: DataFrame, buckets: int | None = None) -> DataFrame:
     """Edited profiles; the profiles given stay as they are.
 
+    For profiles stored in `buckets` by artifact the collected edits are dealt alike, so that
+    the profiles need no exchange.
+
     Collected per artifact are edits that name a place in its profile, one each, pending
     rules it has, and edits of items of its lists of text, one for each item named.
     """
@@ -230,6 +233,8 @@ def apply_edits(profiles: DataFrame, edits: DataFrame) -> DataFrame:
             F.collect_set("settled_rule").alias("_settled"),
         )
     )
+    if buckets is not None:
+        found = found.repartition(buckets, "artifact_id")
     return (
         profiles.join(found, "artifact_id", "left")
         .withColumn(

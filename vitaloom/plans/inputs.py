@@ -258,6 +258,33 @@ def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.selectExpr(*[f"{e} AS {n}" for n, e in UPLOAD_COLUMNS.items()])
 
 
+# --- derived requests: one per customer, whose upload is the page of its number ------------
+REQUEST_TEMPLATE = (
+    "CASE WHEN h % 7 = 3 THEN 'unknown' WHEN h % 7 = 4 THEN 'page_1'"
+    " WHEN h % 5 = 2 THEN 'client_10554236_v1' END"
+)
+
+
+def customer_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return uploads(spark, sf_dir).withColumn(
+        "artifact_id", F.concat(F.lit("c"), F.substring("artifact_id", 11, 18))
+    )
+
+
+def requests(spark: SparkSession, sf_dir: str, sent: DataFrame) -> DataFrame:
+    """(artifact_id, requested, blind, template_name, target_format): `sent` holds the record
+    each artifact's request comes with."""
+    ids = table(spark, sf_dir, "customer").selectExpr(f"{RESUME_KEY} AS doc_id")
+    return (
+        reviewed(ids)
+        .withColumn("h", F.expr(RULE_SEED))
+        .withColumnRenamed("doc_id", "artifact_id")
+        .withColumn("template_name", F.expr(REQUEST_TEMPLATE))
+        .drop("h")
+        .join(sent, "artifact_id", "left")
+    )
+
+
 # A blueprint per page as JSON text: most keys hold fixed text, some depend on the page and
 # break one rule each.
 BLUEPRINT_STYLE = (

@@ -746,7 +746,7 @@ EDU_ROWS = """SELECT doc_id, list(struct_pack(institution := institution, degree
   end_date := end_date) ORDER BY n) AS schools FROM edu GROUP BY doc_id"""
 
 
-def block(order: int, section: str, parts: list[tuple[str, str, str]], gate: str = "") -> str:
+def block(order: int | str, section: str, parts: list[tuple[str, str, str]], gate: str = "") -> str:
     """Rows (doc_id, sec, part, i, section, kind, text) of one section; texts is a list."""
     where = f" WHERE {gate}" if gate else ""
     selects = [
@@ -764,8 +764,9 @@ def one(text: str) -> str:
 
 def section_blocks(
     exp_title: str, edu_text: str, bullets: str, titles: dict[str, str], order: list[str],
-    header: list[tuple[str, str, str]], cells: str,
+    header: list[tuple[str, str, str]], cells: str, asked: bool = False,
 ) -> str:
+    """Blocks of the sections in this order or, if `asked`, in that of each row's section_order."""
     kinds = {"skills": bullets, "languages": bullets, "certifications": bullets}
     contents = {
         "contact": [("paragraph", "contact_lines", "")],
@@ -796,11 +797,15 @@ def section_blocks(
     }
     out = []
     for i, section in enumerate(order):
+        at, gate = i, gates.get(section, "true")
+        if asked:
+            at = f"list_position(section_order, '{section}')"
+            gate = f"classic AND list_contains(section_order, '{section}') AND {gate}"
         if section == "header":
-            out.append(block(i, "header", header))
+            out.append(block(at, "header", header, gate))
         else:
             head = ("section_heading", f"['{titles[section]}']", "")
-            out.append(block(i, section, [head, *contents[section]], gates[section]))
+            out.append(block(at, section, [head, *contents[section]], gate))
     return " UNION ALL ".join(out)
 
 
@@ -982,6 +987,14 @@ SQL["blueprint_match"] = with_registry(
 )
 SQL["target_format_meta"] = with_registry("SELECT * FROM formats")
 SEED = "CAST(substring(artifact_id, 11, 18) AS BIGINT)"
+KNOWN = f"""SELECT template_id, arg_min(renderer_key, path) AS renderer_key,
+    arg_min(section_order, path) AS section_order, arg_min(skills_columns, path) AS skills_columns
+    FROM (SELECT template_id, path, renderer_key, section_order, skills_columns FROM registered
+      UNION ALL SELECT 'apex_standard', 'apex_standard/blueprint.json', 'apex_standard',
+        ['header', 'contact', 'summary', 'highlights', 'languages', 'experience', 'education',
+         'certifications', 'additional_details'], 1
+      UNION ALL SELECT 'client_10554236_v1', 'client_10554236_v1/blueprint.json',
+        '{C.CLASSIC_RENDERER}', {CLASSIC_ORDER}, 2) GROUP BY template_id"""
 SQL["effective_template"] = with_registry(
     f"""SELECT artifact_id, r.template_id, k.renderer_key,
   array_to_string(k.section_order, ' ~ ') AS section_order, k.skills_columns,
@@ -992,12 +1005,7 @@ FROM requests r LEFT JOIN known k ON r.template_id = k.template_id""",
         "requests": f"""SELECT artifact_id, coalesce(matched_template_id,
       CASE WHEN {SEED} % 7 = 3 THEN 'unknown' WHEN {SEED} % 7 = 4 THEN 'page_1' END,
       'apex_standard') AS template_id FROM matched""",
-        "known": """SELECT template_id, arg_min(renderer_key, path) AS renderer_key,
-      arg_min(section_order, path) AS section_order, arg_min(skills_columns, path) AS skills_columns
-      FROM (SELECT template_id, path, renderer_key, section_order, skills_columns FROM registered
-        UNION ALL SELECT 'apex_standard', 'apex_standard/blueprint.json', 'apex_standard',
-          ['header', 'contact', 'summary', 'highlights', 'languages', 'experience', 'education',
-           'certifications', 'additional_details'], 1) GROUP BY template_id""",
+        "known": KNOWN,
     },
 )
 SQL["target_ref_check"] = with_registry(
@@ -1010,6 +1018,86 @@ SQL["target_ref_check"] = with_registry(
     THEN {quote(C.REF_METADATA_DIFFERS)} END END AS reason FROM matched"""
 )
 
+# --- from request to export ----------------------------------------------------------------------
+# Profiles as edited; the sections below `prof` are those of the other queries.
+EDITED_PROF = f"""SELECT doc_id, full_name, coalesce(e_email, email) AS email, phone,
+  coalesce(e_location, location) AS location, linkedin_url, portfolio_url, professional_summary,
+  list_transform(base, lambda x, i: CASE WHEN i = 2 AND e_skill1 IS NOT NULL AND len(skills) > 1
+    AND (e_skills IS NULL OR e_skill1_at > e_skills_at) THEN e_skill1 ELSE x END) AS skills,
+  list_filter(list_transform(languages, lambda x, i: CASE WHEN i = 1 THEN coalesce(e_language, x) ELSE x END),
+    lambda x: {shown('x')} IS NOT NULL) AS languages,
+  coalesce(e_salary, salary_expectation) AS salary_expectation,
+  coalesce(e_notice, notice_period) AS notice_period,
+  coalesce(e_permit, work_authorization) AS work_authorization,
+  coalesce(e_interview, interview_availability) AS interview_availability,
+  CASE WHEN x_description IS NOT NULL THEN {NEW_TITLE} END AS x_title, x_company, x_start, x_end,
+  list_transform(x_description, lambda x, i: CASE WHEN i = 2 THEN coalesce(e_bullet, x) ELSE x END)
+    AS x_description,
+  list_filter(list_transform(certifications, lambda x, i: CASE WHEN i = 1 THEN {joined(' | ', 'x', 'e_issuer')}
+    ELSE {shown('x')} END), lambda x: x IS NOT NULL) AS certifications
+FROM (SELECT *, CASE WHEN e_skills IS NULL THEN skills ELSE {NEW_SKILLS} END AS base
+  FROM before LEFT JOIN pivoted ON artifact_id = doc_id WHERE doc_id LIKE 'c%')"""
+REQUESTED = {
+    **{("before" if n == "prof" else n): s for n, s in CTES.items() if n in list(CTES)[: list(CTES).index("prof") + 1]},
+    "before_m": f"SELECT doc_id, {missing_list(lambda n: n)} AS missing_before FROM before",
+    **BUFFER,
+    "pivoted": PIVOT,
+    "prof": EDITED_PROF,
+    **{n: CTES[n] for n in ("prof_m", "seeded", "ruled", "displayed", "ctx")},
+    **REGISTRY,
+    "known": KNOWN,
+    "uploaded": "SELECT concat('c', substring(artifact_id, 11)) AS doc_id, matched_template_id FROM matched",
+    "asked": f"""SELECT doc_id, h, u.doc_id IS NOT NULL AS has_format, matched_template_id AS kept,
+    CASE WHEN u.doc_id IS NULL OR h % 11 = 9 THEN NULL WHEN h % 11 = 8 THEN 'page_0'
+      ELSE matched_template_id END AS sent, {I.REQUEST_TEMPLATE} AS template_name,
+    len(list_intersect(missing_before, missing)) AS open_fields
+    FROM ruled JOIN before_m USING (doc_id) LEFT JOIN uploaded u USING (doc_id)""",
+    "chosen": f"""SELECT doc_id, a.template_id, open_fields, k.section_order, k.skills_columns,
+    k.renderer_key = '{C.CLASSIC_RENDERER}' AS classic, CASE
+    WHEN has_format AND h % 11 = 1 THEN {quote(C.REF_ID_MISMATCH)}
+    WHEN k.template_id IS NULL THEN concat('Unknown target format blueprint: ', a.template_id)
+    WHEN has_format THEN CASE h % 11 WHEN 2 THEN {quote(C.REF_INVALID)}
+      WHEN 3 THEN {quote(C.REF_INVALID)} WHEN 4 THEN {quote(C.REF_METADATA_DIFFERS)}
+      WHEN 5 THEN {quote(C.REF_NOT_UPLOADED)} WHEN 6 THEN {quote(C.REF_METADATA_INVALID)}
+      WHEN 7 THEN {quote(C.REF_METADATA_MISSING)}
+      WHEN 8 THEN CASE WHEN kept IS DISTINCT FROM 'page_0' THEN {quote(C.REF_METADATA_DIFFERS)} END
+      END END AS reason
+    FROM (SELECT *, coalesce(sent, template_name, '{C.DEFAULT_TEMPLATE}') AS template_id FROM asked) a
+    LEFT JOIN known k ON k.template_id = a.template_id""",
+    "edu_rows": f"""SELECT doc_id, list(struct_pack(institution := institution,
+    degree := CASE WHEN pos = 0 THEN coalesce(e_degree, degree) ELSE degree END,
+    end_date := CASE WHEN pos = 0 THEN coalesce(e_school_end, end_date) ELSE end_date END) ORDER BY n)
+    AS schools FROM edu LEFT JOIN pivoted ON artifact_id = doc_id GROUP BY doc_id""",
+    "laid": """SELECT c.*, coalesce(schools, []) AS schools, template_id, section_order,
+    skills_columns, classic FROM ctx c JOIN chosen USING (doc_id) LEFT JOIN edu_rows USING (doc_id)
+    WHERE reason IS NULL""",
+}
+ANY_ROWS = "CAST(ceil(len(skills_shown) / least(skills_columns, greatest(1, len(skills_shown)))) AS BIGINT)"
+ANY_COLUMNS = "least(skills_columns, greatest(1, len(skills_shown)))"
+ANY_CELLS = (
+    f"list_filter(list_transform(range(0, {ANY_ROWS} * {ANY_COLUMNS}), lambda i:"
+    f" skills_shown[CAST((i % {ANY_COLUMNS}) * {ANY_ROWS} + i // {ANY_COLUMNS} + 1 AS BIGINT)]),"
+    " lambda x: x IS NOT NULL)"
+)
+ASKED_BLOCKS = section_blocks(
+    joined(" ", "x_company", "replace(x_dates, ' - ', ' to ')", "x_title"),
+    school_texts(" ", "institution", "end_date", "degree"),
+    "paragraph",
+    CLASSIC_TITLES,
+    ["contact", *CLASSIC_ORDER],
+    [("title", f"[{CLASSIC_HEADER}]", "")],
+    ANY_CELLS,
+    asked=True,
+)
+SQL["generate_exports"] = (
+    "WITH " + ",\n".join(f"{n} AS ({s})" for n, s in REQUESTED.items()) + f"""
+SELECT doc_id AS request_id, template_id, open_fields, line_no, section, kind, text
+FROM ({NUMBERED} (SELECT * FROM ({APEX_BLOCKS}) WHERE doc_id IN (SELECT doc_id FROM laid WHERE NOT classic)
+  UNION ALL SELECT * FROM ({ASKED_BLOCKS}))) JOIN chosen USING (doc_id)
+UNION ALL SELECT doc_id, template_id, open_fields, NULL, NULL, 'refused', reason FROM chosen
+WHERE reason IS NOT NULL"""
+)
+
 # --- artifact state ----------------------------------------------------------------------------
 EVENT_BASE = (
     "SELECT *, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events"
@@ -1062,6 +1150,7 @@ maps AS (SELECT artifact_id, string_agg(name || '=' || location, ' ~ ' ORDER BY
 RECORD = f"""WITH ev AS ({EVENTS}), {RECORD_FILES}
 SELECT s.*, coalesce(files, '') AS debug_artifacts FROM ({STATE}) s
   LEFT JOIN maps USING (artifact_id)"""
+SQL["artifact_jobs"] = RECORD
 SQL["artifact_lookup"] = f"{RECORD} WHERE artifact_id = 'artifact_7'"
 SQL["recent_artifacts"] = f"{RECORD} ORDER BY updated_at DESC, artifact_id LIMIT 50"
 SQL["debug_artifact_map"] = f"""WITH ev AS ({EVENTS}), files AS ({DEBUG_ROWS}),

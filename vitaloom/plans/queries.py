@@ -6,6 +6,7 @@ Lists and maps are flattened to text in the results, so that any engine can comp
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,11 +16,14 @@ from vitaloom import constants as C
 from vitaloom import schemas as S
 from vitaloom.functions import rules, sections
 from vitaloom.functions import text as tx
-from vitaloom.operators import artifacts, blueprints, corpus, edits, extract, layout, render
-from vitaloom.operators import review, validate
+from vitaloom.operators import artifacts, blueprints, corpus, edits, extract, generate, layout
+from vitaloom.operators import render, review, validate
 from vitaloom.functions.remember import remembered
 from vitaloom.functions.rows import unfold
 from vitaloom.plans import inputs as I
+from vitaloom.session import shared_folder
+from vitaloom.sources.bucketed import write_bucketed
+from vitaloom.sources.jobs import JobTable
 from vitaloom.templates import built_in_registry
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -633,20 +637,24 @@ def _generate_requests(spark, sf_dir):
     )
 
 
-@query
-def effective_template(spark, sf_dir):
-    built_in = built_in_registry(spark)
-    registered = page_registry(spark, sf_dir)
-    # One row per id: the first in path order, as lookups by id take it.
-    unique = (
-        registered.unionByName(built_in)
+def _unique_templates(spark, sf_dir):
+    """One row per id: the first in path order, as lookups by id take it."""
+    return (
+        page_registry(spark, sf_dir)
+        .unionByName(built_in_registry(spark))
         .groupBy("template_id")
         .agg(
             F.min_by(F.struct("renderer_key", "section_order", "skills_columns"), "path").alias("t")
         )
         .select("template_id", "t.*")
     )
-    chosen = blueprints.effective_template(_generate_requests(spark, sf_dir), unique)
+
+
+@query
+def effective_template(spark, sf_dir):
+    chosen = blueprints.effective_template(
+        _generate_requests(spark, sf_dir), _unique_templates(spark, sf_dir)
+    )
     return chosen.select(
         "artifact_id",
         "template_id",
@@ -690,6 +698,68 @@ def target_ref_check(spark, sf_dir):
     )
 
 
+# --- from request to export ------------------------------------------------------------------
+def _sent_and_stored(formats: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records that come with requests, and what is stored; one in eleven each is tampered with."""
+    seed = F.expr(f"{I.RULE_SEED.replace('doc_id', 'artifact_id')} % 11")
+    t = F.col("target_format")
+    stored = formats.select(
+        "artifact_id",
+        F.when(seed != 5, F.array(t["stored_filename"])).alias("stored_files"),
+        F.when(seed == 6, F.lit("{}")).when(seed != 7, F.to_json(t)).alias("metadata_json"),
+    )
+    sent = formats.select(
+        "artifact_id",
+        F.when(seed == 1, t.withField("artifact_id", F.lit("artifact_other")))
+        .when(seed == 2, t.withField("role", F.lit("html_page")))
+        .when(seed == 3, t.withField("download_url", F.lit("/elsewhere")))
+        .when(seed == 4, t.withField("note", F.lit("changed")))
+        .when(seed == 8, t.withField("matched_template_id", F.lit("page_0")))
+        .when(seed == 9, F.lit(None))
+        .otherwise(t)
+        .alias("target_format"),
+    )
+    return sent, stored
+
+
+EXPORT_BUCKETS = 16
+
+
+@query
+def generate_exports(spark, sf_dir):
+    """The lines of every customer's request, or the reason for which it is refused."""
+    matched = blueprints.match_blueprints(
+        I.customer_uploads(spark, sf_dir), page_registry(spark, sf_dir)
+    )
+    sent, kept = _sent_and_stored(blueprints.target_format(matched))
+    profiles = extract.extract_profiles(I.customer_resumes(spark, sf_dir), "doc_id").select(
+        F.col("doc_id").alias("artifact_id"), "profile"
+    )
+    stored = {}
+    for name, df in {"profiles": profiles, "formats": kept}.items():
+        of_run = f"{name}_{uuid.uuid4().hex}"
+        folder = f"{shared_folder(spark)}/{of_run}"
+        stored[name] = write_bucketed(df, of_run, folder, "artifact_id", EXPORT_BUCKETS)
+    made = generate.exports(
+        I.requests(spark, sf_dir, sent).withColumn("request_id", F.col("artifact_id")),
+        stored["profiles"],
+        I.edits(spark, sf_dir),
+        stored["formats"],
+        _unique_templates(spark, sf_dir),
+        EXPORT_BUCKETS,
+    )
+    columns = ("request_id", "template_id", "open_fields")
+    told = made.withColumn("open_fields", F.size("open_fields").cast("long"))
+    refused = told.where(F.col("reason").isNotNull()).select(
+        *columns,
+        F.lit(None).cast("long").alias("line_no"),
+        F.lit(None).cast("string").alias("section"),
+        F.lit("refused").alias("kind"),
+        F.col("reason").alias("text"),
+    )
+    return layout.positions(told, "lines", *columns).unionByName(refused)
+
+
 # --- layout --------------------------------------------------------------------------------
 def _line_rows(df: DataFrame) -> DataFrame:
     return layout.positions(df, "lines", "doc_id")
@@ -796,6 +866,17 @@ def recent_artifacts(spark, sf_dir):
     return _flat_record(artifacts.with_debug_artifacts(found, events))
 
 
+@query
+def artifact_jobs(spark, sf_dir):
+    """The stored table after the log was merged in three parts that overlap in time, one of
+    them twice."""
+    table = JobTable(spark, f"{shared_folder(spark)}/artifact-jobs-{uuid.uuid4().hex}", buckets=16)
+    events = I.artifact_events(spark, sf_dir)
+    for part in (2, 0, 0, 1):
+        table.merge(events.where(F.col("seq") % 3 == part))
+    return _flat_record(table.records())
+
+
 @query
 def missing_labels(spark, sf_dir):
     labelled = resume_profiles(spark, sf_dir).select(

@@ -4,6 +4,8 @@ The batch aggregation runs as a streaming aggregation: its state store holds the
 values per artifact, and each micro-batch emits the rows it changed. They are written as
 versions of a change log, one folder per micro-batch, so that a replayed batch overwrites
 itself. The current state is the newest version of each artifact.
+
+`start_job_sink` keeps no state of its own: each micro-batch is merged into the stored table.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from vitaloom import schemas as S
 from vitaloom.operators import artifacts
 from vitaloom.session import checkpoint_for
+from vitaloom.sources.jobs import JobTable
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -61,6 +64,27 @@ def start_debug_sink(
     return _start(artifacts.debug_entries(events), folder, where)
 
 
+def start_job_sink(
+    events: DataFrame, table: JobTable, checkpoint: str | None = None
+) -> StreamingQuery:
+    """Merges every micro-batch into the stored job table, each exactly once.
+
+    A batch that was committed to the table before the stream noted it comes again after a
+    restart and is passed over by its number; the table alone holds the state.
+    """
+    where = checkpoint or checkpoint_for(events.sparkSession, "job-table", table.folder)
+
+    def merge(batch: DataFrame, number: int) -> None:
+        table.merge(batch, stream=where, batch=number)
+
+    return (
+        events.writeStream.foreachBatch(merge)
+        .option("checkpointLocation", where)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def current(spark: SparkSession, folder: str, *keys: str) -> DataFrame:
     """Newest version of each key in a change log."""
     log = spark.read.parquet(folder)
