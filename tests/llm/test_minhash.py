@@ -73,6 +73,26 @@ def test_no_id_repeated_ids_and_other_columns(spark, texts):
     )
 
 
+def test_every_text_of_an_id_is_compared(spark, texts):
+    """A link is found by the text of its row, whatever other texts share the id."""
+    long = texts[7]
+    near = long + " and more"
+    for other in (words(70, 80), "zz " + words(71, 80), "a"):
+        rows = [(1, long), (1, other), (2, near), (3, other), (5, words(72, 90))]
+        df = spark.createDataFrame(rows, "doc_id bigint, text string")
+        got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect())
+        assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (5, 5, True)]
+
+
+def test_components_are_named_by_their_least_document(spark):
+    """Sets are numbered by their hashes; the name is still the least id of any member."""
+    base = words(80, 200)
+    order = [9, 4, 7, 1, 8, 3]
+    found = dict(zip(order, [base, *variants(base, 5, 100)]))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, found)).collect()}
+    assert got == {i: c for i, (_, c, _) in brute(found).items()} and set(got.values()) == {1}
+
+
 def test_empty_table(spark):
     assert minhash.near_duplicates(empty(spark)).count() == 0
 

@@ -29,7 +29,17 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     """
     path = scratch(df.sparkSession, purpose)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept.stored_at = path
+    return kept
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `stored` gave, when all that reads them has been stored itself."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:

@@ -26,12 +26,13 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitaloom.llm.common import (
     WordHashes,
     batches_of,
+    discard,
     mix,
     ngram_hashes,
     plain_words,
@@ -49,13 +50,16 @@ POSITIONS = 1 << 20
 _SIGNED = pa.schema(
     [
         ("doc_id", pa.int64()),
+        ("text_hash", pa.int64()),
         ("n_shingles", pa.int64()),
         ("set_digest", pa.binary()),
+        ("rep", pa.int64()),
         ("bands", pa.list_(pa.int64())),
     ]
 )
 _SIGNED_DDL = (
-    "doc_id bigint, n_shingles bigint, set_digest binary, bands array<bigint>"
+    "doc_id bigint, text_hash bigint, n_shingles bigint, set_digest binary, rep bigint,"
+    " bands array<bigint>"
 )
 
 
@@ -96,25 +100,40 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def rows():
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
+            ids = (batch.column(i).to_pylist() for i in range(2))
+            for doc_id, text_hash, text in zip(*ids, texts_of(batch.column(2))):
                 shingles = shingle_set(text, hashes)
                 if not len(shingles):
-                    yield doc_id, 0, None, None
+                    yield doc_id, text_hash, 0, None, None, None
                     continue
-                yield (
-                    doc_id,
-                    len(shingles),
-                    hashlib.blake2b(shingles.tobytes(), digest_size=16).digest(),
-                    bands(signature(shingles)),
-                )
+                digest = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+                rep = int.from_bytes(digest[:8], "little", signed=True)
+                yield doc_id, text_hash, len(shingles), digest, rep, bands(signature(shingles))
 
     yield from batches_of(rows(), _SIGNED)
 
 
 def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, set_digest and band keys of every document."""
-    narrow = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return narrow.mapInArrow(_sign, _SIGNED_DDL)
+    """doc_id, text_hash, n_shingles, set_digest, rep and band keys of every document.
+
+    `rep` is the number of the set in all that follows; documents come in at the end only.
+    """
+    return _narrow(docs, id_col, text_col).mapInArrow(_sign, _SIGNED_DDL)
+
+
+def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.xxhash64(text).alias("text_hash"),
+        text.alias("text"),
+    )
+
+
+def _sizes_allow(one: str, other: str) -> Column:
+    """Whether sets of these sizes can reach the threshold at all."""
+    least, whole = THRESHOLD
+    return (F.col(one) * whole >= F.col(other) * least) & (F.col(other) * whole >= F.col(one) * least)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +176,7 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, component) of every node of the links (a, b): the least id it reaches.
+    """(id, component), stored, of every node of the links (a, b): the least id it reaches.
 
     Least labels travel along the links, and each round every label is also replaced by its
     own label, so the number of rounds grows with the logarithm of the longest chain. Each
@@ -172,7 +191,7 @@ def components(links: DataFrame) -> DataFrame:
     )
     while True:
         around = (
-            both.join(labels.withColumnRenamed("id", "b"), "b")
+            both.join(labels.select(F.col("id").alias("b"), "component"), "b")
             .groupBy(F.col("a").alias("id"))
             .agg(F.min("component").alias("near"))
         )
@@ -186,9 +205,11 @@ def components(links: DataFrame) -> DataFrame:
             ),
             "labels",
         )
+        discard(labels)
         if after.where("component <> before").isEmpty():
-            return after.select("id", "component")
-        labels = after.select("id", "component")
+            discard(both)
+            return after
+        labels = after
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,23 +254,25 @@ def _pairs_across(apart: DataFrame, texts: DataFrame) -> DataFrame:
         .select("shingle", "rep", "component", "n_shingles", (n - F.col("place")).alias("rest")),
         "prefixes",
     )
-    return (
+    pairs = stored(
         prefix.alias("x")
         .join(
             prefix.alias("y"),
             (F.col("x.shingle") == F.col("y.shingle"))
             & (F.col("x.rep") < F.col("y.rep"))
             & (F.col("x.component") != F.col("y.component"))
-            & (F.col("x.n_shingles") * whole >= F.col("y.n_shingles") * least)
-            & (F.col("y.n_shingles") * whole >= F.col("x.n_shingles") * least)
+            & _sizes_allow("x.n_shingles", "y.n_shingles")
             & (
                 (F.least("x.rest", "y.rest") + 1) * (least + whole)
                 >= (F.col("x.n_shingles") + F.col("y.n_shingles")) * least
             ),
         )
         .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-        .distinct()
+        .distinct(),
+        "pairs-across",
     )
+    discard(rows, prefix)
+    return pairs
 
 
 def near_duplicates(
@@ -259,38 +282,47 @@ def near_duplicates(
 
     A text of fewer than five words is one shingle of all its words. A null or empty text,
     or one of blanks, has no shingle, is linked with nothing and kept. A row without an id
-    is its own component (null) and kept. Rows that repeat an id are each returned, with the
-    component of that id; where their texts differ, the greatest is compared. An empty table gives an empty table.
+    is its own component (null) and kept. Every row that repeats an id is judged by its own text;
+    kept tells whether its id is the least of the component, so equal rows are kept together.
+    A text of any length is compared as a whole. An empty table gives an empty table.
     """
     rows = stored(signed(docs, id_col, text_col), "signed")
-    # One representative for each distinct set: the least id that has it.
+    # One row for each distinct set, and the least document that has it.
     reps = stored(
         rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
         .groupBy("set_digest")
         .agg(
-            F.min("doc_id").alias("rep"),
+            F.min(F.struct("doc_id", "text_hash")).alias("least"),
+            F.first("rep").alias("rep"),
             F.first("n_shingles").alias("n_shingles"),
             F.first("bands").alias("bands"),
         ),
         "sets",
     )
-    members = reps.select("rep", F.explode("bands").alias("bucket"))
+    members = reps.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
     centres = (
         members.groupBy("bucket")
-        .agg(F.min("rep").alias("a"), F.max("rep").alias("last"))
-        .where("a < last")
-        .select("bucket", "a")
+        .agg(F.min(F.struct("rep", "n_shingles")).alias("c"), F.max("rep").alias("last"))
+        .where("c.rep < last")
+        .select("bucket", F.col("c.rep").alias("a"), F.col("c.n_shingles").alias("n_centre"))
     )
     together = stored(members.join(centres, "bucket"), "together")
+    # Sets whose sizes lie too far apart are no link, whatever they hold.
     stars = stored(
-        together.where("a < rep").select("a", F.col("rep").alias("b")).distinct(), "stars"
-    )
-    met = stars.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    narrow = docs.select(
-        F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")
+        together.where("a < rep")
+        .where(_sizes_allow("n_centre", "n_shingles"))
+        .select("a", F.col("rep").alias("b"))
+        .distinct(),
+        "stars",
     )
+    # Texts of all sets that share a bucket: any two of them may still be compared. Rows that
+    # are equal throughout are grouped where the join has put them.
+    met = together.select("rep").distinct().join(reps.select("rep", "least.*"), "rep")
     texts = stored(
-        narrow.join(met, "rep", "left_semi").groupBy("rep").agg(F.max("text").alias("text")),
+        _narrow(docs, id_col, text_col)
+        .join(met, ["doc_id", "text_hash"])
+        .groupBy("doc_id", "text_hash", "rep")
+        .agg(F.first("text").alias("text")),
         "texts",
     )
     links = stored(_linked(stars, texts), "links")
@@ -302,9 +334,8 @@ def near_duplicates(
     least, whole = THRESHOLD
     size_class = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(whole / least))
     labelled = stored(
-        together.select("bucket", "rep")
-        .join(first.withColumnRenamed("id", "rep"), "rep", "left")
-        .join(reps.select("rep", "n_shingles"), "rep")
+        together.select("bucket", "rep", "n_shingles")
+        .join(first.select(F.col("id").alias("rep"), "component"), "rep", "left")
         .select(
             "bucket",
             "rep",
@@ -326,15 +357,18 @@ def near_duplicates(
         .distinct(),
         "apart",
     )
-    across = _pairs_across(apart, texts).join(stars, ["a", "b"], "left_anti")
-    more = stored(_linked(across, texts), "links")
+    discard(labelled, together, first)
+    across = _pairs_across(apart, texts)
+    more = stored(_linked(across.join(stars, ["a", "b"], "left_anti"), texts), "links")
+    discard(stars, texts, apart, across)
     final = components(links.union(more))
+    discard(links, more)
 
-    named = (
-        reps.select("set_digest", "rep")
-        .join(final.withColumnRenamed("id", "rep"), "rep", "left")
-        .select("set_digest", F.coalesce("component", "rep").alias("component_id"))
-    )
+    of_set = reps.select("set_digest", "rep", F.col("least.doc_id").alias("least")).join(
+        final.select(F.col("id").alias("rep"), "component"), "rep", "left"
+    ).select("set_digest", "least", F.coalesce("component", "rep").alias("component"))
+    smallest = of_set.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = of_set.join(smallest, "component").select("set_digest", "component_id")
     return rows.select("doc_id", "n_shingles", "set_digest").join(
         named, "set_digest", "left"
     ).select(
