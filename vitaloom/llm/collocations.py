@@ -24,11 +24,12 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitaloom.llm.common import batches_of, mix, stored, texts_of
+from vitaloom.llm.common import batches_of, discard, mix, stored, texts_of
 
 LEAST = 100
 MOST_WORDS = 5
@@ -52,6 +53,18 @@ _BLOCK = pa.schema([("block_id", pa.int64()), ("words", pa.list_(pa.binary())),
 _BLOCK_DDL = "block_id bigint, words array<binary>, tokens binary"
 
 
+def squeezed(tokens: np.ndarray) -> bytes:
+    """Numbers in few bytes: equal bytes of all numbers side by side, then compressed. Blocks are
+    shuffled once a level, so this is what the shuffle carries."""
+    planes = tokens.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(planes)
+
+
+def unsqueezed(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel()
+
+
 def pieces(text: bytes | None) -> list[bytes]:
     """Lower-cased words in order, with b"." between pieces; no word holds a full stop."""
     return (text or b"").translate(_PLAIN).replace(b".", b" . ").split()
@@ -86,7 +99,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words, numbers, held, size = [b""], {}, [], 0
 
     def block() -> pa.RecordBatch:
-        row = ((task << 32) + made, words, np.concatenate(held).tobytes())
+        row = ((task << 32) + made, words, squeezed(np.concatenate(held)))
         return pa.record_batch([pa.array([v], f.type) for v, f in zip(row, _BLOCK)], schema=_BLOCK)
 
     for batch in batches:
@@ -118,8 +131,8 @@ def blocks(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
 
 
 class _Block:
-    def __init__(self, words: list[bytes], tokens: bytes) -> None:
-        self.words, self.tokens = words, np.frombuffer(tokens, np.uint32).astype(np.int64)
+    def __init__(self, words: list[bytes], tokens: np.ndarray) -> None:
+        self.words, self.tokens = words, tokens.astype(np.int64)
 
     def places(self, n: int) -> np.ndarray:
         """Where n words of one piece follow one another."""
@@ -147,7 +160,7 @@ def _each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, _Block
     for batch in batches:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1).to_pylist()[0]
-            yield row["block_id"], _Block(row["words"], row["tokens"]), row
+            yield row["block_id"], _Block(row["words"], unsqueezed(row["tokens"])), row
 
 
 _PACKED_DDL = "block_id bigint, segment bigint, mass bigint, keys array<bigint>, counts array<int>"
@@ -269,8 +282,11 @@ def _summaries(least: int):
     return run
 
 
-def survivors_by_block(made: DataFrame, lengths: tuple[int, ...], least: int) -> DataFrame:
-    """(block_id, survivors): the n-grams of each block that may occur `least` times in all."""
+def survivors_by_block(
+    made: DataFrame, lengths: tuple[int, ...], least: int
+) -> tuple[DataFrame, list[DataFrame]]:
+    """(block_id, survivors): the n-grams of each block that may occur `least` times in all; and
+    the stored tables this reads."""
     mass = made.mapInArrow(_masses(lengths), "mass bigint").agg(F.coalesce(F.sum("mass"), F.lit(0))).first()[0]
     segments = LEAST_SEGMENTS
     while segments * SEGMENT_MASS < mass:
@@ -285,12 +301,13 @@ def survivors_by_block(made: DataFrame, lengths: tuple[int, ...], least: int) ->
         .mapInArrow(_summaries(least), "key bigint"),
         "survivors",
     )
-    return (
+    found = (
         rows.select("block_id", F.explode("keys").alias("key"))
         .join(kept, "key", "left_semi")
         .groupBy("block_id")
         .agg(F.collect_list("key").alias("survivors"))
     )
+    return found, [rows, kept]
 
 
 # --- cutting blocks down, counting ---------------------------------------------------------
@@ -308,7 +325,7 @@ def _cut_to_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """Blocks without the words that did not survive; what they stood between is apart."""
     for block_id, block, row in _each_block(batches):
         everything = np.arange(len(block.words))
-        single = _Block(block.words, everything.astype(np.uint32).tobytes())
+        single = _Block(block.words, everything)
         left = np.zeros(len(block.words), bool)
         left[1:] = _among(single.keys(1, everything[1:]), _sorted_survivors(row))
         yield _rewritten(block_id, block, np.where(left[block.tokens], block.tokens, 0))
@@ -337,7 +354,7 @@ def _rewritten(block_id: int, block: _Block, tokens: np.ndarray) -> pa.RecordBat
     ends = tokens == 0
     tokens = tokens[~(ends & np.concatenate([[True], ends[:-1]]))] if len(tokens) else tokens
     used, numbers = np.unique(np.append(tokens, 0), return_inverse=True)
-    row = (block_id, [block.words[i] for i in used], numbers[:-1].astype(np.uint32).tobytes())
+    row = (block_id, [block.words[i] for i in used], squeezed(numbers[:-1]))
     return pa.record_batch([pa.array([v], f.type) for v, f in zip(row, _BLOCK)], schema=_BLOCK)
 
 
@@ -415,19 +432,25 @@ def frequent_phrases(
     sizes = stored(_words_of(whole), "sizes")
 
     def cut(made: DataFrame, lengths: tuple[int, ...], how) -> DataFrame:
-        found = survivors_by_block(made, lengths, least)
-        return stored(made.join(found, "block_id").mapInArrow(how, _BLOCK_DDL), "phrase-blocks")
+        found, read = survivors_by_block(made, lengths, least)
+        left = stored(made.join(found, "block_id").mapInArrow(how, _BLOCK_DDL), "phrase-blocks")
+        discard(*read)
+        return left
 
     by_words = cut(whole, (1,), _cut_to_words)
+    discard(whole)
+    words = stored(counted(by_words, (1,), least), "phrases")
     by_pairs = cut(by_words, (2,), _cut_to_pairs)
+    discard(by_words)
     longer = tuple(range(3, MOST_WORDS + 1))
-    chosen = by_pairs.join(survivors_by_block(by_pairs, longer, least), "block_id")
-    frequent = (
-        counted(by_words, (1,), least)
-        .union(counted(by_pairs, (2,), least))
-        .union(counted(chosen, longer, least, chosen=True))
+    found, read = survivors_by_block(by_pairs, longer, least)
+    chosen = by_pairs.join(found, "block_id")
+    frequent = stored(
+        words.union(counted(by_pairs, (2,), least)).union(counted(chosen, longer, least, chosen=True)),
+        "phrases",
     )
-    return stored(frequent, "phrases"), sizes
+    discard(by_pairs, words, *read)
+    return frequent, sizes
 
 
 # --- scores --------------------------------------------------------------------------------
