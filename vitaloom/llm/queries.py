@@ -25,7 +25,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.near_duplicate_passages(table(spark, sf_dir, "documents"))
+    return substrings.near_duplicate_passages(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
