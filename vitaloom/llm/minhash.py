@@ -278,7 +278,7 @@ def _pairs_across(apart: DataFrame, texts: DataFrame) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of `docs`.
+    """doc_id, n_shingles, component_id, kept and text_hash (xxhash64) for every row of `docs`.
 
     A text of fewer than five words is one shingle of all its words. A null or empty text,
     or one of blanks, has no shingle, is linked with nothing and kept. A row without an id
@@ -286,6 +286,16 @@ def near_duplicates(
     kept tells whether its id is the least of the component, so equal rows are kept together.
     A text of any length is compared as a whole. An empty table gives an empty table.
     """
+    return (
+        _judged(docs, id_col, text_col)
+        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        .select("doc_id", "n_shingles", "component_id", "kept", "text_hash")
+    )
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, n_shingles, component_id, text_hash and component, its number; two components can
+    have one name where texts of one id lie in both."""
     rows = stored(signed(docs, id_col, text_col), "signed")
     # One row for each distinct set, and the least document that has it.
     reps = stored(
@@ -299,19 +309,30 @@ def near_duplicates(
         ),
         "sets",
     )
-    members = reps.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
+    members = reps.select(
+        "rep", "n_shingles", F.col("least.doc_id").alias("document"), F.explode("bands").alias("bucket")
+    )
+    # The centre of a bucket is its earliest document's set: of a family of copies that is most
+    # often the same one in all buckets, so that few different pairs come up.
     centres = (
         members.groupBy("bucket")
-        .agg(F.min(F.struct("rep", "n_shingles")).alias("c"), F.max("rep").alias("last"))
-        .where("c.rep < last")
-        .select("bucket", F.col("c.rep").alias("a"), F.col("c.n_shingles").alias("n_centre"))
+        .agg(
+            F.min(F.struct("document", "rep", "n_shingles")).alias("c"),
+            F.min("rep").alias("low"),
+            F.max("rep").alias("high"),
+        )
+        .where("low < high")
+        .select("bucket", F.col("c.rep").alias("centre"), F.col("c.n_shingles").alias("n_centre"))
+    )
+    together = stored(
+        members.join(centres, "bucket").select("bucket", "rep", "n_shingles", "centre", "n_centre"),
+        "together",
     )
-    together = stored(members.join(centres, "bucket"), "together")
     # Sets whose sizes lie too far apart are no link, whatever they hold.
     stars = stored(
-        together.where("a < rep")
+        together.where("centre <> rep")
         .where(_sizes_allow("n_centre", "n_shingles"))
-        .select("a", F.col("rep").alias("b"))
+        .select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b"))
         .distinct(),
         "stars",
     )
@@ -368,8 +389,8 @@ def near_duplicates(
         final.select(F.col("id").alias("rep"), "component"), "rep", "left"
     ).select("set_digest", "least", F.coalesce("component", "rep").alias("component"))
     smallest = of_set.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = of_set.join(smallest, "component").select("set_digest", "component_id")
-    return rows.select("doc_id", "n_shingles", "set_digest").join(
+    named = of_set.join(smallest, "component").select("set_digest", "component_id", "component")
+    return rows.select("doc_id", "n_shingles", "set_digest", "text_hash").join(
         named, "set_digest", "left"
     ).select(
         "doc_id",
@@ -377,4 +398,42 @@ def near_duplicates(
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias(
             "component_id"
         ),
-    ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        "text_hash",
+        "component",
+    )
+
+
+def distinct_rows(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows of `docs` that stay when one of each component does: the least id and, where rows
+    share it, the least text hash; of rows with one id and text, one. Rows without an id or
+    without words all stay.
+    """
+    found = stored(_judged(docs, id_col, text_col), "components")
+    judged = found.where("doc_id IS NOT NULL AND n_shingles > 0")
+    place = F.struct("doc_id", "text_hash")
+    first = judged.groupBy("component").agg(F.min(place).alias("first"))
+    gone = (
+        judged.join(first, "component")
+        .where(place != F.col("first"))
+        .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+        .distinct()
+    )
+    twice = (
+        judged.groupBy("doc_id", "text_hash")
+        .agg(F.count("*").alias("n"))
+        .where("n > 1")
+        .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    )
+    same = (docs[id_col].cast("long") == F.col("_id")) & (
+        F.xxhash64(docs[text_col].cast("string")) == F.col("_hash")
+    )
+    own = [F.xxhash64(docs[text_col].cast("string")).alias("_hash_of_text"), docs[id_col].alias("_id_of_row")]
+    single = (
+        docs.join(twice.join(gone, ["_id", "_hash"], "left_anti"), same, "left_semi")
+        .select(*[docs[c] for c in docs.columns], *own)
+        .dropDuplicates(["_id_of_row", "_hash_of_text"])
+        .select(*docs.columns)
+    )
+    return docs.join(gone.union(twice).distinct(), same, "left_anti").union(single)

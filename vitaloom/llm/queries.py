@@ -11,7 +11,7 @@ from vitaloom.plans.inputs import table
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
