@@ -54,34 +54,75 @@ def judged(spark):
     return rules.judged(df).collect()
 
 
-def mcd(x, granted):
-    """The same estimate with numpy."""
+def moments(x, granted):
+    """The estimate of one group with numpy."""
     q = np.quantile(np.round(x, 3), [0.25, 0.5, 0.75], axis=0)
     m, s = q[1], np.diag(((q[2] - q[0]) / 1.349) ** 2 + granted**2)
     widen = rules.SUBSET / rules.chi_square_cdf(rules.chi_square_quantile(rules.SUBSET, 5), 7)
-    distance = lambda: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m)
     for _ in range(rules.STEPS):
-        far = np.round(np.log1p(distance()), 3)
+        far = np.round(np.log1p(distances(x, m, s)), 3)
         near = x[far <= np.quantile(far, rules.SUBSET)]
-        m, s = near.mean(axis=0), np.cov(near.T, bias=True) * widen + np.diag(granted**2)
-    return distance()
+        m, s = near.mean(axis=0), (near - near.mean(axis=0)).T @ (near - near.mean(axis=0)) / len(near) * widen
+        s = s + np.diag(granted**2)
+    return m, s
 
 
-def test_distances_equal_numpy(judged):
-    rows = {i: (lang, source) for i, _, lang, source in corpus()}
-    groups: dict = {}
-    for r in judged:
-        if not r.base_failed:
-            groups.setdefault(rows[r.doc_id], []).append(r)
-    pooled = [r for rs in groups.values() if len(rs) < rules.LEAST_GROUP for r in rs]
-    checked = [rs for rs in groups.values() if len(rs) >= rules.LEAST_GROUP] + [pooled]
+def distances(x, m, s):
+    return np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m)
+
+
+def leaning(n, own, wider):
+    w = n / (n + rules.SHRINK)
+    apart = own[0] - wider[0]
+    return w * own[0] + (1 - w) * wider[0], w * own[1] + (1 - w) * wider[1] + w * (1 - w) * np.outer(apart, apart)
+
+
+def vector(r):
+    chars, n = max(r.word_chars, 1), r.n_words
+    return [math.log1p(n), math.log(chars / n), math.sqrt(r.n_symbols / chars), 0.0, math.sqrt(r.n_repeat_words / n)]
+
+
+def check_against_numpy(judged, group_of):
     granted = np.array(list(rules.GRANTED.values()))
-    for rs in checked:
-        x = np.array([
-            [math.log1p(r.n_words), math.log(r.word_chars / r.n_words), math.sqrt(r.n_symbols / r.word_chars), 0.0,
-             math.sqrt(r.n_repeat_words / r.n_words)] for r in rs
-        ])
-        assert np.allclose(mcd(x, granted), [r.distance for r in rs], rtol=1e-6)
+    rs = [r for r in judged if not r.base_failed]
+    x = np.array([vector(r) for r in rs])
+    groups = [group_of[r.doc_id] for r in rs]
+    every = moments(x, granted)
+    for group in set(groups):
+        mine = np.array([g == group for g in groups])
+        same = np.array([g[0] == group[0] for g in groups])
+        of_lang = leaning(same.sum(), moments(x[same], granted), every)
+        m, s = leaning(mine.sum(), moments(x[mine], granted), of_lang)
+        got = [r.distance for r, g in zip(rs, groups) if g == group]
+        assert np.allclose(distances(x[mine], m, s), got, rtol=1e-6), group
+
+
+def test_distances_equal_numpy(judged):
+    check_against_numpy(judged, {i: (lang, source) for i, _, lang, source in corpus()})
+
+
+SIZES = (1, 2, 20, 99, 100)
+
+
+def test_a_group_of_any_size_is_judged_alike(spark):
+    """The same far text in groups of many sizes: rejected everywhere, by distances that change
+    little from one size to the next; its neighbours stay."""
+    rows, group_of = [], {}
+    for size in SIZES:
+        for k in range(size):
+            i = size * 1000 + k
+            text = words(i, 150 + i % 97, 10**6)
+            if k == 0:
+                text = " | # ".join(words(77, 200, 10**6).split())
+            rows.append((i, text, "en", f"s{size}"))
+            group_of[i] = ("en", f"s{size}")
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    got = {r.doc_id: r for r in rules.judged(df).collect()}
+    check_against_numpy(got.values(), group_of)
+    far = {size: got[size * 1000] for size in SIZES}
+    assert not any(r.kept for r in far.values())
+    assert all(r.kept for i, r in got.items() if i % 1000)
+    assert abs(far[100].distance - far[99].distance) < 0.05 * far[99].distance
 
 
 def test_outliers_go_and_clean_texts_stay(judged):

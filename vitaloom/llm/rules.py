@@ -7,6 +7,10 @@ start at medians and quartile ranges, concentration steps keep the SUBSET part o
 that lies nearest by Mahalanobis distance and take mean and covariance of these rows anew. A
 text is rejected when its squared distance exceeds the chi-square quantile OUTLIER.
 
+Small groups lean on larger ones: the estimate of a group of n texts counts n / (n + SHRINK)
+beside that of its language, and the language's beside that of all texts likewise. So verdicts
+change smoothly with the size of a group, and the distance is always applied.
+
 Groups meet only in partial aggregates: counts, means, covariances, and percentiles of values
 rounded to a grid, whose buffers hold at most one number for each grid value. A group with a
 third of all texts is a few rows a task at every shuffle. Estimates are one row a group.
@@ -27,8 +31,8 @@ MOST_REPEATED = 50
 SUBSET = 0.75
 STEPS = 4
 OUTLIER = 0.9999
-# Groups of fewer texts are judged together.
-LEAST_GROUP = 100
+# As many texts as a group's own estimate needs to count half.
+SHRINK = 50
 
 _BLANKS = "\t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
@@ -145,6 +149,10 @@ def _pairs() -> list[tuple[int, int]]:
     return [(i, j) for i in range(len(_NAMES)) for j in range(i + 1)]
 
 
+_MOMENTS = [f"m_{i}" for i in range(len(_NAMES))] + [f"s_{i}_{j}" for i, j in _pairs()]
+_FACTORS = [f"l_{i}_{j}" for i, j in _pairs()]
+
+
 def _factor(estimates: DataFrame) -> DataFrame:
     """Adds the Cholesky factor l_i_j of the covariance s_i_j to each row."""
     for i, j in _pairs():
@@ -153,8 +161,7 @@ def _factor(estimates: DataFrame) -> DataFrame:
             rest = rest - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
         value = F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l_{j}_{j}")
         estimates = estimates.withColumn(f"l_{i}_{j}", value)
-    kept = [f"m_{i}" for i in range(len(_NAMES))] + [f"l_{i}_{j}" for i, j in _pairs()]
-    return stored(estimates.select("group", "n_group", *kept), "estimates")
+    return stored(estimates.select("group", "n_group", *_MOMENTS, *_FACTORS), "estimates")
 
 
 def _distances(rows: DataFrame, estimates: DataFrame) -> DataFrame:
@@ -211,6 +218,37 @@ def _step(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     return _factor(moments)
 
 
+def _estimates(rows: DataFrame) -> DataFrame:
+    """Location and scatter of every `group` of rows."""
+    estimates = _start(rows)
+    for _ in range(STEPS):
+        estimates = _step(rows, estimates)
+    return estimates.select("group", "n_group", *_MOMENTS)
+
+
+def _leaning(own: DataFrame, wider: DataFrame, keys: str | None) -> DataFrame:
+    """Estimates of `own` shrunk towards those of `wider`, which share `keys` or are one row.
+
+    The scatter of a mixture of two groups: that of both, and that between their centres.
+    """
+    of = wider.select(
+        *([F.col("group").alias(keys)] if keys else []), *[F.col(c).alias(f"w_{c}") for c in _MOMENTS]
+    )
+    # Without a key `wider` is one row.
+    both = own.join(of, keys) if keys else own.crossJoin(F.broadcast(of))
+    weight = F.col("n_group") / (F.col("n_group") + SHRINK)
+    made = {f"m_{i}": weight * F.col(f"m_{i}") + (1 - weight) * F.col(f"w_m_{i}") for i in range(len(_NAMES))}
+    apart = [F.col(f"m_{i}") - F.col(f"w_m_{i}") for i in range(len(_NAMES))]
+    for i, j in _pairs():
+        made[f"s_{i}_{j}"] = (
+            weight * F.col(f"s_{i}_{j}")
+            + (1 - weight) * F.col(f"w_s_{i}_{j}")
+            + weight * (1 - weight) * apart[i] * apart[j]
+        )
+    kept = [c for c in own.columns if c not in made]
+    return both.select(*kept, *[made[c].alias(c) for c in _MOMENTS])
+
+
 def judged(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -222,40 +260,32 @@ def judged(
 
     Columns: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     distance, kept. A null language or source is a group like others. Rows that fail the
-    plain rules take no part in estimates, are not kept and have no distance. Groups of fewer
-    than LEAST_GROUP rows are judged as one group; if that has fewer, too, its rows are kept.
+    plain rules take no part in estimates, are not kept and have no distance. Groups of any size
+    are judged; see the module's text for small ones. A text of any length is one row of numbers.
     Rows that repeat an id are judged one by one; an empty table gives an empty table.
     """
+    lang = F.col(lang_col).cast("string").alias("l")
     named = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(text_col).alias("text"),
-        F.to_json(
-            F.struct(F.col(lang_col).cast("string").alias("l"), F.col(source_col).cast("string").alias("s"))
-        ).alias("own_group"),
+        F.to_json(F.struct(lang, F.col(source_col).cast("string").alias("s"))).alias("group"),
+        F.to_json(F.struct(lang)).alias("of_lang"),
     )
     base = stored(
         statistics(named).withColumn("base_failed", base_failed()).withColumns(_vector()).drop("text"),
         "statistics",
     )
-    passed = base.where("NOT base_failed")
-    large = stored(
-        passed.groupBy("own_group").agg(F.count("*").alias("n")).where(f"n >= {LEAST_GROUP}"), "groups"
-    ).select("own_group", F.lit(True).alias("large"))
-    rows = stored(
-        passed.join(large, "own_group", "left").withColumn(
-            "group", F.when(F.col("large"), F.col("own_group")).otherwise(F.lit("*"))
-        ).drop("large", "own_group"),
-        "grouped",
-    )
-    estimates = _start(rows)
-    for _ in range(STEPS):
-        estimates = _step(rows, estimates)
+    rows = base.where("NOT base_failed")
+    own = _estimates(rows)
+    of_lang = _estimates(rows.withColumn("group", F.col("of_lang")))
+    of_all = _estimates(rows.withColumn("group", F.lit("*")))
+    langs = _leaning(of_lang, of_all, None)
+    groups = own.join(rows.select("group", "of_lang").distinct(), "group")
+    estimates = _factor(_leaning(groups, langs, "of_lang"))
     limit = chi_square_quantile(OUTLIER, len(_NAMES))
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     verdicts = _distances(rows, estimates).select(
-        *columns,
-        "distance",
-        ((F.col("distance") <= limit) | (F.col("n_group") < LEAST_GROUP)).alias("kept"),
+        *columns, "distance", (F.col("distance") <= limit).alias("kept")
     )
     failed = base.where("base_failed").select(
         *columns, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept")
