@@ -99,3 +99,24 @@ def test_run_gives_the_last_stage(spark, case):
     folder, *_, kept = case
     rows = lambda df: sorted((r.doc_id or -1, r.ids_sha256) for r in df.collect())
     assert rows(corpus_pipeline.run(spark, folder)) == rows(kept[4])
+
+
+def test_rows_without_an_id_and_with_a_repeated_one(spark, case):
+    """Decisions are made for rows, not for ids."""
+    folder, *_, item, _ = case
+    clean, other, hit = words(950, 90), words(951, 90), f"{words(952, 40)} {item} {words(953, 40)}"
+    rows = [(None, hit), (None, clean), (1, hit), (1, other), (1, other), (2, other + " more"), (3, None), (3, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    left = lambda stage: sorted((r.doc_id or -1, r.text or "") for r in stage(spark, docs, folder).collect())
+    assert left(corpus_pipeline.uncontaminated) == sorted(
+        [(-1, clean), (1, other), (1, other), (2, other + " more"), (3, ""), (3, "")]
+    )
+    assert left(corpus_pipeline.distinct_documents) == sorted(
+        [(-1, hit), (-1, clean), (1, hit), (1, other), (3, ""), (3, "")]
+    )
+    cut = left(corpus_pipeline.distinct_passages)
+    assert (1, hit) in cut or (1, other) in cut
+    assert sum(other in t for _, t in cut) in (1, 2) and (-1, hit) in cut
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, folder).count() == 0
