@@ -168,46 +168,45 @@ def test_messages(spark):
     assert rows[1].s == "Candidate: Ann\n\nMissing information:\n- None\n"
 
 
-def test_disclosure_rules(spark):
-    c = context(
-        spark,
-        {
-            "full_name": "Jane Candidate",
-            "location": "Boston",
-            "work_authorization": "US citizen",
-            "client_display_rules": {
-                "salary_expectation": "pending_confirmation",
-                "notice_period": "available_upon_request",
-                "interview_availability": "hide",
-            },
-        },
-    )
+def test_each_detail_follows_its_own_rule(spark):
+    """Details in fixed order: pending, shown with a rule, shown without one, on request."""
+    details = ("salary_expectation", "notice_period", "work_authorization", "interview_availability")
+    ruled = {"notice_period": "show", "interview_availability": "available_upon_request",
+             "work_authorization": "pending_confirmation"}
+    values = dict(zip(details, ("70,000 EUR", "six weeks", "EU permit", "after 6 pm")))
+    c = context(spark, {**values, "client_display_rules": ruled})
     assert [(d.label, d.value) for d in c.additional_details] == [
-        ("Salary expectation", "To be confirmed"),
-        ("Notice period", "Available upon request"),
-        ("Work authorization", "US citizen"),
+        (C.DETAIL_LABELS["salary_expectation"], "70,000 EUR"),
+        (C.DETAIL_LABELS["notice_period"], "six weeks"),
+        (C.DETAIL_LABELS["work_authorization"], C.PENDING_TEXT),
+        (C.DETAIL_LABELS["interview_availability"], C.ON_REQUEST_TEXT),
     ]
+    hidden = context(spark, {**values, "client_display_rules": dict.fromkeys(details, "hide")})
+    assert hidden.additional_details == []
+
+
+TOMASZ = {
+    "full_name": "Tomasz Wolny",
+    "email": "tw@poczta.example",
+    "phone": "0048 22 000 11 22",
+    "location": "Gdynia",
+    "linkedin_url": "https://www.linkedin.com/in/twolny",
+    "portfolio_url": "http://wolny.example/ships",
+    "work_experience": [
+        {"company": "Stocznia", "title": "Welder"}, {"company": "Port", "title": "Docker"},
+    ],
+}
 
 
-JANE = {
-    "full_name": "Jane Candidate",
-    "email": "jane@example.com",
-    "phone": "+1 555 123 4567",
-    "location": "Boston",
-    "linkedin_url": "https://www.linkedin.com/in/jane-candidate",
-    "portfolio_url": "https://jane.example.com/portfolio",
-    "work_experience": [{"company": "CurrentCo", "title": "Backend Lead"}],
-}
-
-
-def test_blind_profile(spark):
-    c = context(spark, JANE, blind=True)
-    assert c.candidate_heading == "Candidate A"
-    assert c.candidate_subheading == "Backend Lead | Boston"
-    assert c.contact_lines == ["Location: Boston"]
-    shown = context(spark, {**JANE, "client_display_rules": {"portfolio_url": "show"}}, blind=True)
-    assert shown.contact_lines[1:] == ["Portfolio: https://jane.example.com/portfolio"]
-    assert len(context(spark, JANE).contact_lines) == 5
+def test_what_a_blind_profile_shows(spark):
+    open_, blind = context(spark, TOMASZ), context(spark, TOMASZ, blind=True)
+    assert open_.candidate_heading == "Tomasz Wolny" and len(open_.contact_lines) == 5
+    assert blind.candidate_heading == C.BLIND_HEADING
+    assert blind.candidate_subheading == open_.candidate_subheading == "Welder | Gdynia"
+    assert blind.contact_lines == [x for x in open_.contact_lines if "Gdynia" in x]
+    for rule, shown in (("show", 2), ("hide", 1), ("available_upon_request", 1)):
+        ruled = {**TOMASZ, "client_display_rules": {"portfolio_url": rule}}
+        assert len(context(spark, ruled, blind=True).contact_lines) == shown
 
 
 @pytest.mark.parametrize("rule", [None, *C.DISPLAY_RULES])
@@ -225,26 +224,26 @@ def test_rule_matrix(spark, rule, value, blind):
     assert lines == ([expected] if expected and not blind else [])
 
 
-def test_nested_sections(spark):
+def test_blanks_in_lists_and_records(spark):
     c = context(
         spark,
         {
-            "skills": ["Python", " ", "SQL"],
-            "languages": [{"name": "English", "proficiency": "Fluent"}, {"name": " "}],
+            "skills": ["\t", "Welding", "", "Tides "],
+            "languages": [{"name": "\u3000", "proficiency": "C1"}, {"name": "Kashubian"}],
             "work_experience": [
-                {"company": "DataWorks", "title": "Engineer", "start_date": "2020",
-                 "end_date": "2024", "description": ["Built.", " "]},
-                {"start_date": " ", "end_date": "2019"},
+                {"company": " ", "title": "Welder", "end_date": "June", "description": ["\n", "Hulls"]},
+                {"company": "Port", "start_date": "1999", "end_date": "\t"},
             ],
-            "certifications": [{"name": "CPA", "issuer": " ", "date": "2020"}],
+            "certifications": [{"name": "TIG", "issuer": "DVS", "date": ""}],
         },
     )
-    assert c.skills == ["Python", "SQL"] and c.languages == ["English | Fluent"]
-    assert [e.date_range for e in c.work_experience] == ["2020 - 2024", "2019"]
-    assert c.work_experience[0].description == ["Built."]
-    assert c.certifications == ["CPA | 2020"]
+    assert [s.strip() for s in c.skills] == ["Welding", "Tides"]
+    assert c.languages[-1] == "Kashubian"
+    assert [(e.company, e.date_range) for e in c.work_experience] == [(None, "June"), ("Port", "1999")]
+    assert c.work_experience[0].description == ["Hulls"]
+    assert c.certifications == ["TIG | DVS"]
     # A missing location shows as to be confirmed.
-    assert c.candidate_subheading == "Engineer | To be confirmed"
+    assert c.candidate_subheading == f"Welder | {C.PENDING_TEXT}"
 
 
 def test_corpus_run_keeps_every_document(spark):
