@@ -255,7 +255,9 @@ def test_corpus_run_keeps_every_document(spark):
     rows = {r.doc_id: r for r in run.collect()}
     assert rows[1].context.candidate_heading == "Candidate A" and rows[1].reason is None
     assert rows[2].profile is None and rows[3].reason == validate.EMPTY_TEXT
-    counts = {(r.lang, r.reason): r.documents for r in corpus.failure_counts(run, "lang").collect()}
+    found = corpus.failure_counts(run, "lang").collect()
+    counts = {(r.lang, r.reason): r.documents for r in found}
+    assert {(r.lang, r.reason): r.lines for r in found if r.lines} == {("en", None): rows[1].n_lines}
     assert counts == {
         ("en", None): 1, ("en", validate.EMPTY_TEXT): 1, ("de", validate.EMPTY_TEXT): 1,
     }
@@ -280,6 +282,16 @@ def test_corpus_run_extracts_validates_and_lays_out(spark, monkeypatch):
     assert "portfolio_url" in broken[1] and broken[3] == validate.EMPTY_TEXT
 
 
+def test_corpus_run_takes_what_the_source_says_first(spark):
+    docs = spark.createDataFrame(
+        [(1, "Ann", None), (2, "Bob", "no such kind"), (3, None, "not to be opened"), (4, " ", None)],
+        "doc_id int, text string, error string",
+    )
+    run = corpus.run_corpus(docs, "doc_id", problem="error")
+    reasons = {r.doc_id: r.reason for r in run.collect()}
+    assert reasons == {1: None, 2: "no such kind", 3: "not to be opened", 4: validate.EMPTY_TEXT}
+
+
 def test_file_name_checks(spark):
     names = ["a.docx", "A.PDF", ".pdf", "x.docx.txt", "b.", "dir.pdf/a", "ü 1.DocX"]
     rows = spark.createDataFrame([(n,) for n in names], "n string").select(

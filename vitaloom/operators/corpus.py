@@ -25,15 +25,19 @@ def run_corpus(
     *keep: str,
     blind: Column | bool = True,
     template: Column | str = C.DEFAULT_TEMPLATE,
+    problem: str | None = None,
 ) -> DataFrame:
     """Every document from extraction to its lines; a failure is a `reason`, not a stop.
 
-    The result has one row per input row: `profile`, `context` and `n_lines`, or `reason`. An
-    empty text, a profile that breaks the strict schema, an unknown template and a layout
-    without a line are failures, in this order. `template` may be a column of `keep`.
+    The result has one row per input row: `profile`, `context` and `n_lines`, or `reason`. What
+    the source says of a file it could not read (the column `problem`, if named), an empty text,
+    a profile that breaks the strict schema, an unknown template and a layout without a line are
+    failures, in this order. `template` may be a column of `keep`.
     """
     template = template if isinstance(template, Column) else F.lit(template)
     checked = reject_empty_text(docs)
+    if problem is not None:
+        checked = checked.withColumn("reason", F.coalesce(problem, "reason"))
     staged = extract_profiles(checked, *keep, "reason").withColumnRenamed("reason", "_empty")
     profiled = staged.withColumn("_payload", F.to_variant_object("profile")).withColumn(
         "_violations", F.array_join(_violations(), "; ")
@@ -63,8 +67,11 @@ def _violations() -> Column:
 
 
 def failure_counts(run: DataFrame, *by: str) -> DataFrame:
-    """Documents per outcome; `reason` is null for the good ones."""
-    return run.groupBy(*by, "reason").agg(F.count(F.lit(1)).alias("documents"))
+    """Documents per outcome and the lines laid out for them; `reason` is null for the good ones."""
+    lines = F.coalesce(F.sum("n_lines"), F.lit(0)).cast("long")
+    return run.groupBy(*by, "reason").agg(
+        F.count(F.lit(1)).alias("documents"), lines.alias("lines")
+    )
 
 
 def missing_rates(profiles: DataFrame, by: str) -> DataFrame:

