@@ -8,7 +8,7 @@ from tests.llm.helpers import empty, with_clashes, words
 from vitaloom.llm import lm
 
 
-def test_scores_against_brute_force(spark, monkeypatch):
+def test_scores_against_brute_force(spark):
     rows = [(i, words(i % 30, 20 + i, 50)) for i in range(120)]
     rows += [(200, None), (201, ""), (202, " \n"), (203, "unseen words only here"), (None, "w1x1 W1X1"), (5, words(5, 25, 50)), (204, "É é"), (205, "long " * 20_000)]
     df = with_clashes(spark.createDataFrame(rows, "doc_id bigint, text string"))
@@ -39,28 +39,68 @@ def test_filter_gives_quantised_counts():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(0, 2**63, 20_000).astype(np.uint64))
     counts = rng.integers(1, 1000, len(keys))
-    bits = lm.filter_of(keys, counts, 1 << 24)
-    found = lm.quantised(keys, bits)
+    probes = lm.first_probes(1000)
+    bits = lm.filter_of(keys, counts, probes)
+    found = lm.quantised(keys, bits, probes)
     # Never less than the level stored, which is the count within a factor of BASE.
     assert (found * lm.BASE > counts * 0.999).all()
-    assert (found <= counts * lm.BASE).mean() > 0.97
-    other = np.setdiff1d(rng.integers(0, 2**63, 20_000).astype(np.uint64), keys)
-    assert (lm.quantised(other, bits) > 0).mean() < 0.03
+    assert (found <= counts).mean() > 0.97
+    other = np.setdiff1d(rng.integers(0, 2**63, 200_000).astype(np.uint64), keys)
+    yes = (lm.quantised(other, bits, probes) > 0).mean()
+    assert yes < 2 * 2.0**-probes + 1e-4
+    assert len(lm.filter_of(keys[:0], counts[:0], probes)) == 8
 
 
-def test_filter_grows_to_its_bound():
-    keys = np.arange(10_000, dtype=np.uint64)
-    ones = np.ones(10_000)
-    assert len(lm.filter_of(keys[:1000], ones[:1000], 1 << 20)) < len(lm.filter_of(keys, ones, 1 << 20))
-    full = lm.filter_of(keys, ones, 256)
-    assert len(full) == 256 and (lm.quantised(keys, full) > 0).all()
-    assert len(lm.filter_of(keys[:0], ones[:0], 256)) == 8
+def test_filter_grows_with_its_entries_and_the_vocabulary():
+    keys, ones = np.arange(10_000, dtype=np.uint64), np.ones(10_000)
+    sizes = [len(lm.filter_of(keys[:k], ones[:k], 20)) for k in (10, 1000, 10_000)]
+    assert sizes[0] < sizes[1] / 50 < sizes[2] / 250
+    assert lm.first_probes(10**6) == 20 + lm.FALSE_PROBES < lm.first_probes(10**9)
+    assert 10**6 * 2.0 ** -lm.first_probes(10**6) <= 2.0**-lm.FALSE_PROBES
 
 
-def test_seen_and_unseen_bigrams_differ_whatever_the_size(spark, monkeypatch):
-    """The filter of the corpus has no bound of its own; one of 4 KB, if there were any, would
-    answer yes to every bigram."""
-    monkeypatch.setattr(lm, "MAX_FILTER_BYTES", 4096, raising=False)
+def exact_scores(rows):
+    """The same model by exact counts, quantised as the filter does."""
+    out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    texts = [(i, [b"", *(t or "").encode().lower().split(), b""]) for i, t in rows]
+    words, pairs = collections.Counter(), collections.Counter()
+    for i, ts in texts:
+        if not out(i):
+            words.update(ts[1:])
+            pairs.update(zip(ts, ts[1:]))
+    n, v = sum(words.values()), len(words)
+    false_mass = v * 2.0 ** -lm.first_probes(v)
+
+    def probability(a, b):
+        plain = (words[b] + 1) / (n + v + 1)
+        if not words[a]:
+            return plain
+        c = pairs[a, b]
+        count = lm.BASE ** math.floor(math.log(c) / math.log(lm.BASE) + 1e-9) if c else 0
+        return (count + lm.PRIOR * plain) / (words[a] + lm.PRIOR + false_mass)
+
+    return [sum(math.log10(probability(a, b)) for a, b in zip(ts, ts[1:])) for _, ts in texts], words, probability
+
+
+def test_score_equals_exact_counts(spark, monkeypatch):
+    rows = [(i, words(i % 25, 15 + i % 40, 60)) for i in range(150)] + [(200, None), (201, "never seen"), (202, "z " * 9000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    want, vocabulary, probability = exact_scores(rows)
+    for most in (lm.BROADCAST_BYTES, 0):  # broadcast, and sent to the parts
+        monkeypatch.setattr(lm, "BROADCAST_BYTES", most)
+        got = {r.doc_id: r.score for r in lm.score(df).collect()}
+        # A false answer can only raise a score: a level of a seen bigram in 2 ** PROBES answers.
+        higher = [got[i] - x for (i, _), x in zip(rows, want)]
+        tokens = sum(len((t or "").split()) + 1 for _, t in rows[:150])
+        assert min(higher) > -1e-6 and sum(higher[:150]) < tokens * 3 * 2**-lm.PROBES * math.log10(lm.BASE)
+        assert max(higher[150:152]) < 1e-6
+    # What may follow a word sums to 1 at most; one place is left for words never seen.
+    for a in list(vocabulary)[:40]:
+        total = sum(probability(a, b) for b in vocabulary) + probability(a, b"\x00never")
+        assert 0.5 < total <= 1 + 1e-9
+
+
+def test_seen_and_unseen_bigrams_differ(spark):
     rows = [(i, words(i, 400, 50)) for i in range(200)] + [(1000, words(7, 400, 50))]
     shuffled = words(7, 400, 50).split()
     np.random.default_rng(1).shuffle(shuffled)
