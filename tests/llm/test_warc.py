@@ -103,3 +103,17 @@ def test_broken_frames(spark, tmp_path):
 
 def test_empty_table(spark):
     assert warc.round_trip(pages(spark, [])).count() == 0
+
+
+def test_frames_of_any_size_are_cut_at_their_ends():
+    """Frames shorter and longer than a chunk, and at its borders; reading is linear."""
+    import random
+
+    import zstandard
+
+    rng = random.Random(1)
+    parts = [rng.randbytes(n) for n in (1, 100, warc._CHUNK - 1, warc._CHUNK, warc._CHUNK + 1, 5 * warc._CHUNK, 0, 7)]
+    content = b"".join(zstandard.ZstdCompressor(level=1).compress(p) for p in parts)
+    assert [d for d, e in warc.frames(content) if e is None] == parts
+    cut = list(warc.frames(content[:-3]))
+    assert [d for d, _ in cut[:-1]] == parts[:-1] and cut[-1] == (None, "the last frame is cut short")

@@ -218,6 +218,10 @@ _RECORD_DDL = (
 )
 
 
+# Compressed bytes that go to the decoder at a time.
+_CHUNK = 1 << 14
+
+
 def frames(content: bytes) -> Iterator[tuple[bytes | None, str | None]]:
     """(decoded frame, error) for each frame behind the dictionary."""
     start, dictionary = 0, None
@@ -233,9 +237,12 @@ def frames(content: bytes) -> Iterator[tuple[bytes | None, str | None]]:
     reader = zstandard.ZstdDecompressor(dict_data=dictionary)
     view = memoryview(content)
     while start < len(content):
-        one = reader.decompressobj()
+        one, parts, at = reader.decompressobj(), [], start
         try:
-            data = one.decompress(view[start:])
+            # In chunks: what a frame does not use of its last chunk is copied, not the whole rest.
+            while at < len(content) and not one.eof:
+                parts.append(one.decompress(view[at : at + _CHUNK]))
+                at += _CHUNK
         except zstandard.ZstdError as error:
             yield None, f"the frame cannot be decoded: {error}"
             # The frame's length is lost with it; go on at the next frame mark.
@@ -246,8 +253,8 @@ def frames(content: bytes) -> Iterator[tuple[bytes | None, str | None]]:
         if not one.eof:
             yield None, "the last frame is cut short"
             return
-        start = len(content) - len(one.unused_data)
-        yield data, None
+        start = min(at, len(content)) - len(one.unused_data)
+        yield b"".join(parts), None
 
 
 def parsed(data: bytes) -> dict:
@@ -330,7 +337,12 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = True) -
 def round_trip(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html"
 ) -> DataFrame:
-    """Writes all rows to archives in the shared folder and reads the archives back."""
+    """Writes all rows to archives in the shared folder and reads the archives back.
+
+    A null payload is written as an empty one; rows without an id or with a repeated one are
+    records like others; an empty table gives no archive and no record. An archive is one row
+    when it is read, so a payload near 2 GB cannot be read back.
+    """
     folder = scratch(pages.sparkSession, "warc")
     if not re.match(r"\w+:", folder):
         folder = f"file://{folder}"
