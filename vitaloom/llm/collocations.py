@@ -1,7 +1,8 @@
 """Phrase collocations: frequent n-grams by mergeable Misra-Gries summaries, counted exactly.
 
 1. Texts become blocks of about BLOCK_BYTES: a list of (language, word) and the text as numbers
-   in that list, 0 where a piece ends. All later passes read blocks.
+   in that list, 0 where a piece ends. All later passes read blocks. These are stored in buckets
+   by block, so that what is found out about a block comes to it and no block is shuffled.
 2. A level takes n-grams of some lengths: single words, then pairs, then 3 to MOST_WORDS words.
    Each block gives its distinct n-grams as hashes with their counts, packed by SEGMENT of the
    hash. The segments' masses are summed first. A segment's rows are then merged, as a stream,
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitaloom.llm.common import batches_of, discard, mix, stored, texts_of
+from vitaloom.llm.common import batches_of, buckets_for, discard, mix, stored, stored_in_buckets, texts_of
 
 LEAST = 100
 MOST_WORDS = 5
@@ -54,8 +55,7 @@ _BLOCK_DDL = "block_id bigint, words array<binary>, tokens binary"
 
 
 def squeezed(tokens: np.ndarray) -> bytes:
-    """Numbers in few bytes: equal bytes of all numbers side by side, then compressed. Blocks are
-    shuffled once a level, so this is what the shuffle carries."""
+    """Numbers in few bytes: equal bytes of all numbers side by side, then compressed."""
     planes = tokens.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
     return zstandard.ZstdCompressor(level=3).compress(planes)
 
@@ -121,10 +121,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block()
 
 
-def blocks(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
+def blocks(docs: DataFrame, lang_col: str, text_col: str, buckets: int) -> DataFrame:
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN))
     narrow = docs.select(lang.alias("lang"), F.col(text_col).cast("string").alias("text"))
-    return stored(narrow.mapInArrow(_blocks, _BLOCK_DDL), "phrase-blocks")
+    made = narrow.mapInArrow(_blocks, _BLOCK_DDL)
+    return stored_in_buckets(made, "phrase-blocks", "block_id", buckets)
 
 
 # --- n-grams of a block --------------------------------------------------------------------
@@ -428,12 +429,14 @@ def frequent_phrases(
 ) -> tuple[DataFrame, DataFrame]:
     """Phrases of 1 to MOST_WORDS words that occur `least` times, as (lang, phrase, n_words, f),
     and the number of words of each language, as (lang, n)."""
-    whole = blocks(docs, lang_col, text_col)
+    buckets = buckets_for(docs)
+    whole = blocks(docs, lang_col, text_col, buckets)
     sizes = stored(_words_of(whole), "sizes")
 
     def cut(made: DataFrame, lengths: tuple[int, ...], how) -> DataFrame:
         found, read = survivors_by_block(made, lengths, least)
-        left = stored(made.join(found, "block_id").mapInArrow(how, _BLOCK_DDL), "phrase-blocks")
+        cut_down = made.join(found, "block_id").mapInArrow(how, _BLOCK_DDL)
+        left = stored_in_buckets(cut_down, "phrase-blocks", "block_id", buckets)
         discard(*read)
         return left
 

@@ -34,10 +34,37 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return kept
 
 
+# Buckets of a stored table: as many as its source has partitions, between these; the upper one is
+# Spark's own limit. A bucket may hold any number of rows.
+LEAST_BUCKETS, MOST_BUCKETS = 32, 100_000
+
+
+def buckets_for(df: DataFrame) -> int:
+    return min(max(df.rdd.getNumPartitions(), LEAST_BUCKETS), MOST_BUCKETS)
+
+
+def stored_in_buckets(df: DataFrame, purpose: str, key: str, buckets: int) -> DataFrame:
+    """As `stored`, and joins on `key` bring the other side to this table's buckets, at any size."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, purpose)
+    name = f"{purpose.replace('-', '_')}_{uuid.uuid4().hex}"
+    (
+        df.write.format("parquet")
+        .option("compression", "zstd")
+        .bucketBy(buckets, key)
+        .option("path", path)
+        .saveAsTable(name)
+    )
+    kept = spark.table(name)
+    kept.stored_at, kept.stored_as = path, name
+    return kept
+
+
 def discard(*tables: DataFrame) -> None:
-    """Deletes tables that `stored` gave, when all that reads them has been stored itself."""
+    """Deletes tables that `stored` and its like gave, when all that reads them has been stored itself."""
     for table in tables:
         spark = table.sparkSession
+        if "stored_as" in vars(table):
+            spark.sql(f"DROP TABLE IF EXISTS {table.stored_as}")
         path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
