@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitaloom.llm.collocations import squeezed, unsqueezed
-from vitaloom.llm.common import discard, mix, plain_words, stored, texts_of
+from vitaloom.llm.common import buckets_for, discard, mix, plain_words, stored, stored_in_buckets, texts_of
 from vitaloom.llm.quality import held_out
 
 BLOCK_BYTES = 4 << 20
@@ -113,7 +113,9 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     narrow = docs.select(
         F.col(id_col).cast("long"), F.col(text_col).cast("string"), held_out(id_col, 7, 2)
     )
-    return stored(narrow.mapInArrow(_blocks, _BLOCK_DDL), "blocks")
+    made = narrow.mapInArrow(_blocks, _BLOCK_DDL)
+    # What is found out about a block comes to its bucket: blocks are not shuffled.
+    return stored_in_buckets(made, "blocks", "block_id", buckets_for(docs))
 
 
 class _Block:
