@@ -253,7 +253,7 @@ def round_trip(
 
     The ids are hashed as little-endian 32-bit integers, the decoded bytes as they are.
     Encoding and decoding run in one pass. A null text counts as empty; every row is
-    returned, also those that repeat an id or have none.
+    returned, also those that repeat an id or have none. An empty table gives an empty table.
     """
     path = path or public_tokenizers.path(RANK_FILE)
     return docs.select(

@@ -104,7 +104,9 @@ def pairs_of_answers(conversations: DataFrame) -> DataFrame:
 
     Chosen is the conversation itself. Rejected is the same up to its last answer, in whose
     place the last answer of the next conversation stands, that of conv_id + 1. Without an
-    answer, or a next conversation with one, a pair has its chosen side only.
+    answer, or a next conversation with one, a pair has its chosen side only. Rows without a
+    conv_id are left out; null roles and texts and repeated rows go on as they are, for
+    `format_pairs` to settle; an empty table gives no pair.
     """
     rows = conversations.where("conv_id IS NOT NULL").select(
         F.col("conv_id").cast("long").alias("pair_id"), "turn", "role", "text"

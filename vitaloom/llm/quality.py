@@ -201,7 +201,8 @@ def _round(common):
 def with_scores(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataFrame:
     """`docs` with `score` (0 to 1), in place of any such column, by the text alone.
 
-    A null or empty text has no n-gram and gets the score of the intercept.
+    A null or empty text has no n-gram and gets the score of the intercept. A text of any length
+    is scored as a whole; repeated rows are scored one by one; an empty table gives an empty table.
     """
     model = docs.sparkSession.sparkContext.broadcast(weights)
 
