@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.helpers import empty, frame, rows_of, with_clashes
@@ -87,6 +88,21 @@ def test_hard_rows(spark):
     assert rows_of(collocations.collocations(frame(spark, {1: "a b"}), least=100)) == []
 
 
+def test_survivors_of_a_segment_reach_its_blocks_across_batches():
+    def batch(*rows):
+        lists = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64())))]
+        return pa.RecordBatch.from_arrays(lists, names=["segment", "block_id", "keys"])
+
+    given = [
+        batch((1, None, [9, 2])),
+        batch((1, None, [5]), (1, 10, [1, 2, 9]), (1, 11, [3])),
+        batch((1, 12, [5, 9]), (2, 10, [2, 5]), (3, None, []), (3, 10, [2])),
+        batch((4, None, [7]), (4, 11, [7])),
+    ]
+    got = [tuple(c[0].as_py() for c in out.columns) for out in collocations._surviving(iter(given))]
+    assert got == [(10, [2, 9]), (12, [5, 9]), (11, [7])]
+
+
 def test_products_pass_64_bits(spark):
     frequent = spark.createDataFrame(
         [("en", "a", 1, 10**14), ("en", "b", 1, 10**14 - 7), ("en", "a b", 2, 10**13 + 1)],

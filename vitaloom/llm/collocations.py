@@ -10,7 +10,8 @@
    greatest count that does not fit is taken off all. What a summary can have lost of a count
    is below LEAST, so every n-gram that occurs LEAST times is still in it, whatever the order
    of the rows. The number of segments grows with the mass, so a summary does not.
-3. The survivors are joined back to the blocks. There their occurrences are counted by the
+3. Each block's n-grams are held against the survivors of their segment, and those that are
+   left go back to the block. There their occurrences are counted by the
    words themselves, summed over all blocks and held against LEAST. These counts are exact;
    hashes that meet only cost a count that is then dropped.
 4. Between levels a block is cut down: an n-gram of LEAST occurrences has no word and no pair
@@ -246,7 +247,8 @@ def capacity_for(mass: int, least: int) -> int:
 
 
 def _summaries(least: int):
-    """(segment, mass of the segment, keys, counts) in the order of segments -> survivors."""
+    """(segment, mass, keys, counts) in the order of segments, where a segment's whole mass comes
+    before its keys -> (segment, survivors)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segment, summary, waiting, size = None, None, [], 0
@@ -260,7 +262,12 @@ def _summaries(least: int):
         def survivors():
             found = summary.at_least(least)
             for start in range(0, len(found), 50_000):
-                yield pa.record_batch([pa.array(found[start : start + 50_000])], names=["key"])
+                part = found[start : start + 50_000]
+                bounds = pa.array(np.array([0, len(part)], np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([segment], pa.int64()), pa.ListArray.from_arrays(bounds, pa.array(part))],
+                    names=["segment", "keys"],
+                )
 
         for batch in batches:
             for i in range(batch.num_rows):
@@ -270,6 +277,7 @@ def _summaries(least: int):
                         yield from survivors()
                     segment = of
                     summary = Summary(capacity_for(batch.column(1)[i].as_py(), least))
+                    continue
                 keys = batch.column(2)[i].values.to_numpy(zero_copy_only=False)
                 counts = batch.column(3)[i].values.to_numpy(zero_copy_only=False)
                 waiting.append((keys, counts))
@@ -283,30 +291,69 @@ def _summaries(least: int):
     return run
 
 
+def _surviving(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(segment, block_id, keys) in the order of segments, where a segment's survivors come before
+    its blocks and have no block -> (block_id, the keys that survive)."""
+    segment, parts, survivors = None, [], np.zeros(0, np.int64)
+    for batch in batches:
+        for i in range(batch.num_rows):
+            of, block_id = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+            keys = batch.column(2)[i].values.to_numpy(zero_copy_only=False)
+            if of != segment:
+                segment, parts, survivors = of, [], np.zeros(0, np.int64)
+            if block_id is None:
+                parts.append(keys)
+                continue
+            if parts:
+                survivors, parts = np.sort(np.concatenate(parts)), []
+            if not len(survivors):
+                continue
+            at = np.searchsorted(survivors, keys)
+            found = keys[survivors[np.minimum(at, len(survivors) - 1)] == keys]
+            if len(found):
+                bounds = pa.array(np.array([0, len(found)], np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block_id], pa.int64()), pa.ListArray.from_arrays(bounds, pa.array(found))],
+                    names=["block_id", "keys"],
+                )
+
+
+def _by_segment(first: DataFrame, rest: DataFrame) -> DataFrame:
+    """The rows of both by segment, those of `first` before the others.
+
+    One plain exchange at any size, where a join would be a broadcast at one and a shuffle of
+    single keys at the other.
+    """
+    both = first.withColumn("_turn", F.lit(0)).unionByName(
+        rest.withColumn("_turn", F.lit(1)), allowMissingColumns=True
+    )
+    return both.repartition("segment").sortWithinPartitions("segment", "_turn")
+
+
 def survivors_by_block(
-    made: DataFrame, lengths: tuple[int, ...], least: int
+    made: DataFrame, lengths: tuple[int, ...], least: int, buckets: int
 ) -> tuple[DataFrame, list[DataFrame]]:
-    """(block_id, survivors): the n-grams of each block that may occur `least` times in all; and
-    the stored tables this reads."""
+    """(block_id, survivors): the n-grams of each block that may occur `least` times in all, dealt
+    as the blocks are; and the stored tables this reads."""
     mass = made.mapInArrow(_masses(lengths), "mass bigint").agg(F.coalesce(F.sum("mass"), F.lit(0))).first()[0]
     segments = LEAST_SEGMENTS
     while segments * SEGMENT_MASS < mass:
         segments *= 2
     rows = stored(made.mapInArrow(_packed(lengths, segments), _PACKED_DDL), "ngrams")
-    masses = rows.groupBy("segment").agg(F.sum("mass").alias("of_segment"))
+    masses = rows.groupBy("segment").agg(F.sum("mass").alias("mass"))
     kept = stored(
-        rows.join(masses, "segment")
-        .repartition("segment")
-        .sortWithinPartitions("segment")
-        .select("segment", "of_segment", "keys", "counts")
-        .mapInArrow(_summaries(least), "key bigint"),
+        _by_segment(masses, rows.select("segment", "keys", "counts"))
+        .select("segment", "mass", "keys", "counts")
+        .mapInArrow(_summaries(least), "segment bigint, keys array<bigint>"),
         "survivors",
     )
     found = (
-        rows.select("block_id", F.explode("keys").alias("key"))
-        .join(kept, "key", "left_semi")
+        _by_segment(kept, rows.select("segment", "block_id", "keys"))
+        .select("segment", "block_id", "keys")
+        .mapInArrow(_surviving, "block_id bigint, keys array<bigint>")
+        .repartition(buckets, "block_id")
         .groupBy("block_id")
-        .agg(F.collect_list("key").alias("survivors"))
+        .agg(F.flatten(F.collect_list("keys")).alias("survivors"))
     )
     return found, [rows, kept]
 
@@ -434,7 +481,7 @@ def frequent_phrases(
     sizes = stored(_words_of(whole), "sizes")
 
     def cut(made: DataFrame, lengths: tuple[int, ...], how) -> DataFrame:
-        found, read = survivors_by_block(made, lengths, least)
+        found, read = survivors_by_block(made, lengths, least, buckets)
         cut_down = made.join(found, "block_id").mapInArrow(how, _BLOCK_DDL)
         left = stored_in_buckets(cut_down, "phrase-blocks", "block_id", buckets)
         discard(*read)
@@ -446,7 +493,7 @@ def frequent_phrases(
     by_pairs = cut(by_words, (2,), _cut_to_pairs)
     discard(by_words)
     longer = tuple(range(3, MOST_WORDS + 1))
-    found, read = survivors_by_block(by_pairs, longer, least)
+    found, read = survivors_by_block(by_pairs, longer, least, buckets)
     chosen = by_pairs.join(found, "block_id")
     frequent = stored(
         words.union(counted(by_pairs, (2,), least)).union(counted(chosen, longer, least, chosen=True)),
