@@ -1,8 +1,14 @@
 """Inputs derived from the test tables lie in enough partitions, whatever their files are."""
 
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from vitaloom.plans import inputs
+from vitaloom.plans.queries import QUERIES
+
+SF = "/root/testdata/sf0.001"
 
 
 def one_file(df, folder, name):
@@ -36,3 +42,9 @@ def test_tables_that_lie_in_enough_partitions_are_not_shuffled(spark):
     wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = spark.range(100, numPartitions=wanted)
     assert inputs.spread(rows, "id") is rows
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not there")
+def test_edited_profiles_are_extracted_once(spark):
+    read = QUERIES["apply_edits"](spark, SF).inputFiles()
+    assert read and not any("customer.parquet" in f for f in read)
