@@ -270,6 +270,7 @@ def judged(
         F.col(text_col).alias("text"),
         F.to_json(F.struct(lang, F.col(source_col).cast("string").alias("s"))).alias("group"),
         F.to_json(F.struct(lang)).alias("of_lang"),
+        F.lit("*").alias("of_all"),
     )
     base = stored(
         statistics(named).withColumn("base_failed", base_failed()).withColumns(_vector()).drop("text"),
@@ -278,7 +279,9 @@ def judged(
     rows = base.where("NOT base_failed")
     own = _estimates(rows)
     of_lang = _estimates(rows.withColumn("group", F.col("of_lang")))
-    of_all = _estimates(rows.withColumn("group", F.lit("*")))
+    # A stored column: joins on a literal become cartesian products, which compute their rows anew
+    # for every partition of the other side.
+    of_all = _estimates(rows.withColumn("group", F.col("of_all")))
     langs = _leaning(of_lang, of_all, None)
     groups = own.join(rows.select("group", "of_lang").distinct(), "group")
     estimates = _factor(_leaning(groups, langs, "of_lang"))
