@@ -279,7 +279,7 @@ def judged(
     rows = base.where("NOT base_failed")
     own = _estimates(rows)
     of_lang = _estimates(rows.withColumn("group", F.col("of_lang")))
-    # A stored column: joins on a literal become cartesian products, which compute their rows anew
+    # A stored column: joins on a literal may become cartesian products, which compute their rows anew
     # for every partition of the other side.
     of_all = _estimates(rows.withColumn("group", F.col("of_all")))
     langs = _leaning(of_lang, of_all, None)
