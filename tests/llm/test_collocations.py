@@ -130,3 +130,25 @@ def test_summary_keeps_every_frequent_key_when_full(seed):
     for key, count in zip(summary.keys.tolist(), summary.counts.tolist()):
         assert count <= true[key] <= count + summary.lost
     assert {k for k, f in true.items() if f >= least} <= set(summary.at_least(least).tolist())
+
+
+def test_packed_keys_take_less_than_their_bits():
+    rng = np.random.default_rng(6)
+    keys = np.unique(rng.integers(0, 1 << collocations.KEY_BITS, 20_000))
+    packed = collocations.packed_keys(keys)
+    assert (collocations.unpacked_keys(packed) == keys).all()
+    assert len(packed) < 5.5 * len(keys)
+    for few in ([], [0], [(1 << collocations.KEY_BITS) - 1]):
+        few = np.array(few, np.int64)
+        assert collocations.unpacked_keys(collocations.packed_keys(few)).tolist() == few.tolist()
+
+
+def test_a_task_gives_each_ngram_once(spark, monkeypatch):
+    """Blocks of one task have their counts summed before they are shuffled."""
+    monkeypatch.setattr(collocations, "BLOCK_BYTES", 1)
+    docs = spark.createDataFrame([("en", "one two")] * 30, "lang string, text string").coalesce(1)
+    batches = list(docs.toArrow().to_batches())
+    made = list(collocations._blocks(iter(batches)))
+    assert len(made) == 30
+    given = pa.Table.from_batches(collocations._counts((1, 2), False)(iter(made))).to_pylist()
+    assert sorted((r["phrase"], r["f"]) for r in given) == [(b"one", 30), (b"one two", 30), (b"two", 30)]

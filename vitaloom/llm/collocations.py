@@ -44,6 +44,8 @@ SEGMENT_MASS = 20_000_000
 LEAST_SEGMENTS = 32
 # Entries that wait for a merge into the summary of a segment.
 WAITING = 500_000
+# Counted n-grams that a task holds before it gives them on.
+HELD_COUNTS = 200_000
 
 # Bytes that end a piece become full stops, tabs blanks, and A-Z lower case.
 _ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -66,6 +68,26 @@ def unsqueezed(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel()
 
 
+# Bits of an n-gram's hash. n-grams that meet are told apart by their words in the end.
+KEY_BITS = 48
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys in few bytes: the steps from one to the next, which are smaller the more
+    keys there are, as `squeezed` does it."""
+    steps = np.diff(keys.view(np.int64), prepend=np.int64(0)).astype("<i8")
+    planes = steps.view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8].T.tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(planes)
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    planes = planes.reshape(KEY_BITS // 8, -1)
+    steps = np.zeros((planes.shape[1], 8), np.uint8)
+    steps[:, : KEY_BITS // 8] = planes.T
+    return np.cumsum(steps.view("<i8").ravel())
+
+
 def pieces(text: bytes | None) -> list[bytes]:
     """Lower-cased words in order, with b"." between pieces; no word holds a full stop."""
     return (text or b"").translate(_PLAIN).replace(b".", b" . ").split()
@@ -151,11 +173,11 @@ class _Block:
         return mix(np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words)))
 
     def keys(self, n: int, places: np.ndarray) -> np.ndarray:
-        """64-bit hash of the n words at each place, and of n."""
+        """Hash of KEY_BITS bits of the n words at each place, and of n."""
         out = np.full(len(places), n, np.uint64)
         for i in range(n):
             out = mix(out) ^ self.hashes[self.tokens[places + i]]
-        return mix(out)
+        return mix(out) >> np.uint64(64 - KEY_BITS)
 
 
 def _each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, _Block, dict]]:
@@ -165,11 +187,11 @@ def _each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, _Block
             yield row["block_id"], _Block(row["words"], unsqueezed(row["tokens"])), row
 
 
-_PACKED_DDL = "block_id bigint, segment bigint, mass bigint, keys array<bigint>, counts array<int>"
+_PACKED_DDL = "block_id bigint, segment bigint, mass bigint, keys binary, counts binary"
 
 
 def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) % np.uint64(segments)).astype(np.int64)
+    return ((keys >> np.uint64(KEY_BITS // 2)) % np.uint64(segments)).astype(np.int64)
 
 
 def _packed(lengths: tuple[int, ...], segments: int):
@@ -183,15 +205,16 @@ def _packed(lengths: tuple[int, ...], segments: int):
             order = np.argsort(of, kind="stable")
             keys, counts, of = keys[order].view(np.int64), counts[order], of[order]
             present, starts = np.unique(of, return_index=True)
-            bounds = np.append(starts, len(of)).astype(np.int32)
+            bounds = np.append(starts, len(of)).tolist()
             sums = np.add.reduceat(counts, starts) if len(starts) else counts
+            ranges = list(zip(bounds, bounds[1:]))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.full(len(present), block_id, np.int64)),
                     pa.array(present, pa.int64()),
                     pa.array(sums, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys)),
-                    pa.ListArray.from_arrays(pa.array(bounds), pa.array(counts.astype(np.int32))),
+                    pa.array([packed_keys(keys[a:b]) for a, b in ranges], pa.binary()),
+                    pa.array([squeezed(counts[a:b]) for a, b in ranges], pa.binary()),
                 ],
                 names=["block_id", "segment", "mass", "keys", "counts"],
             )
@@ -262,10 +285,9 @@ def _summaries(least: int):
         def survivors():
             found = summary.at_least(least)
             for start in range(0, len(found), 50_000):
-                part = found[start : start + 50_000]
-                bounds = pa.array(np.array([0, len(part)], np.int32))
+                part = packed_keys(found[start : start + 50_000])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([segment], pa.int64()), pa.ListArray.from_arrays(bounds, pa.array(part))],
+                    [pa.array([segment], pa.int64()), pa.array([part], pa.binary())],
                     names=["segment", "keys"],
                 )
 
@@ -278,8 +300,8 @@ def _summaries(least: int):
                     segment = of
                     summary = Summary(capacity_for(batch.column(1)[i].as_py(), least))
                     continue
-                keys = batch.column(2)[i].values.to_numpy(zero_copy_only=False)
-                counts = batch.column(3)[i].values.to_numpy(zero_copy_only=False)
+                keys = unpacked_keys(batch.column(2)[i].as_py())
+                counts = unsqueezed(batch.column(3)[i].as_py()).astype(np.int64)
                 waiting.append((keys, counts))
                 size += len(keys)
                 if size >= WAITING:
@@ -318,6 +340,20 @@ def _surviving(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
+def _surviving_packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As `_surviving`, of packed keys."""
+
+    def unpacked() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                keys = unpacked_keys(batch.column(2)[i].as_py())
+                bounds = pa.array(np.array([0, len(keys)], np.int32))
+                row = [*batch.slice(i, 1).columns[:2], pa.ListArray.from_arrays(bounds, pa.array(keys))]
+                yield pa.RecordBatch.from_arrays(row, names=["segment", "block_id", "keys"])
+
+    yield from _surviving(unpacked())
+
+
 def _by_segment(first: DataFrame, rest: DataFrame) -> DataFrame:
     """The rows of both by segment, those of `first` before the others.
 
@@ -344,13 +380,13 @@ def survivors_by_block(
     kept = stored(
         _by_segment(masses, rows.select("segment", "keys", "counts"))
         .select("segment", "mass", "keys", "counts")
-        .mapInArrow(_summaries(least), "segment bigint, keys array<bigint>"),
+        .mapInArrow(_summaries(least), "segment bigint, keys binary"),
         "survivors",
     )
     found = (
         _by_segment(kept, rows.select("segment", "block_id", "keys"))
         .select("segment", "block_id", "keys")
-        .mapInArrow(_surviving, "block_id bigint, keys array<bigint>")
+        .mapInArrow(_surviving_packed, "block_id bigint, keys array<bigint>")
         .repartition(buckets, "block_id")
         .groupBy("block_id")
         .agg(F.flatten(F.collect_list("keys")).alias("survivors"))
@@ -412,10 +448,15 @@ _COUNTED = pa.schema(
 
 
 def _counts(lengths: tuple[int, ...], chosen: bool):
-    """Blocks -> counts of their n-grams by the words; only of the row's survivors if `chosen`."""
+    """Blocks -> counts of their n-grams by the words; only of the row's survivors if `chosen`.
+
+    A task's blocks have most frequent n-grams in common, so their counts are summed before they
+    are given on, as long as there are at most HELD_COUNTS n-grams.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
+            held: dict[tuple, int] = {}
             for _, block, row in _each_block(batches):
                 survivors = _sorted_survivors(row) if chosen else None
                 langs, words = [], []
@@ -433,7 +474,12 @@ def _counts(lengths: tuple[int, ...], chosen: bool):
                     grams = np.stack([block.tokens[places + i] for i in range(n)], axis=1)
                     distinct, counts = np.unique(grams, axis=0, return_counts=True)
                     for gram, count in zip(distinct.tolist(), counts.tolist()):
-                        yield langs[gram[0]], b" ".join([words[i] for i in gram]), n, count
+                        key = langs[gram[0]], b" ".join([words[i] for i in gram]), n
+                        held[key] = held.get(key, 0) + count
+                        if len(held) >= HELD_COUNTS:
+                            yield from ((*k, c) for k, c in held.items())
+                            held.clear()
+            yield from ((*k, c) for k, c in held.items())
 
         yield from batches_of(rows(), _COUNTED, 20_000)
 
