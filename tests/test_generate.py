@@ -1,5 +1,7 @@
 """The chain from a request to its export."""
 
+import os
+import re
 import uuid
 
 import pytest
@@ -7,10 +9,12 @@ from pyspark.sql import functions as F
 
 from vitaloom import constants as C
 from vitaloom import schemas as S
-from vitaloom.operators import blueprints, extract, generate
+from vitaloom.operators import blueprints, edits as ed, extract, generate
+from vitaloom.plans.queries import QUERIES
 from vitaloom.sources.bucketed import write_bucketed
 from vitaloom.templates import built_in_registry
 
+SF = "/root/testdata/sf0.001"
 RESUME = "Mira Okafor\nmira@example.org\nSkills\nSQL, Rust\nExperience\nClerk at Depot (2019 to 2021)\n- Filed papers\n"
 REQUESTS = (
     "request_id string, artifact_id string, requested map<string,string>, blind boolean,"
@@ -159,3 +163,40 @@ def test_stored_sides_are_not_exchanged(unbroadcast, tmp_path):
     assert sum("Exchange" not in x for x in joined) >= 2
     whole = [above(i) for i in scans if "metadata_json" in plan.split("\n")[i] or "full_name" in plan.split("\n")[i]]
     assert whole and all("Exchange" not in x for x in whole)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not there")
+def test_exports_compute_and_send_nothing_twice(spark):
+    made = QUERIES["generate_exports"](spark, SF)
+    lines = made._jdf.queryExecution().executedPlan().toString().split("\n")
+    scans = [line for line in lines if "FileScan parquet" in line]
+    stored = [line for line in scans if "default.profiles_" in line]
+    assert len(stored) == 2  # the lists that edits name, and the profiles themselves
+    assert not any("html" in line for line in scans)  # blueprints are checked once, before
+
+    def below(line_no):
+        depth = lambda line: len(line) - len(line.lstrip(" :+-*"))
+        for line in lines[line_no + 1 :]:
+            if depth(line) <= depth(lines[line_no]):
+                return
+            yield line
+
+    sent = [x for i, line in enumerate(lines) if "BroadcastExchange" in line for x in below(i)]
+    assert not any("default.profiles_" in x or "o_orderkey" in x for x in sent)
+
+
+def test_the_log_is_dealt_once_to_stored_profiles(unbroadcast, tmp_path):
+    spark, buckets = unbroadcast, 3
+    ids = [f"x{i}" for i in range(12)]
+    table = f"profiles_{uuid.uuid4().hex}"
+    held = write_bucketed(profiles(spark, *ids), table, str(tmp_path / "profiles"), "artifact_id", buckets)
+    rows = [(i, "location", v, s) for i in ids for s, v in enumerate(("Rome", "", f"in {i}"))]
+    edits(spark, *rows, ("x0", "skills", "Go, C", 7)).write.parquet(str(tmp_path / "log"))
+    made = ed.apply_edits(held, spark.read.parquet(str(tmp_path / "log")), buckets)
+    got = {r.artifact_id: r.profile for r in made.collect()}
+    assert {i: p.location for i, p in got.items()} == {i: f"in {i}" for i in ids}
+    assert got["x0"].skills == ["Go", "C"] and got["x1"].skills == ["SQL", "Rust"]
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(artifact_id#" in plan
+    # By path, too, meet only those that were cleared and the log.
+    assert len(re.findall(r"Exchange hashpartitioning\(artifact_id#\d+, path#", plan)) == 2

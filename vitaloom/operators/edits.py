@@ -55,7 +55,7 @@ def buffered_edits(edits: DataFrame) -> DataFrame:
     anew = (
         newest.where("cleared IS NOT NULL")
         .select(*keys, "value", "cleared")
-        .join(edits.select(*keys, "seq"), keys)
+        .join(edits.select(*keys, "seq").hint("merge"), keys)
         .where("seq > cleared")
         .groupBy(*keys)
         .agg(F.max("value").alias("value"), F.min("seq").alias("position"))
@@ -100,7 +100,9 @@ def addressed(profiles: DataFrame, edits: DataFrame) -> DataFrame:
     grows = F.when((path == "skills") | F.rlike(path, F.lit(SKILL)), F.lit("skills")).when(
         bullet, F.lit("bullets")
     )
-    return buffered_edits(edits).join(shape, "artifact_id").select(
+    # A shape's lists and maps are many times their compressed files, by which Spark would
+    # broadcast them.
+    return buffered_edits(edits).join(shape.hint("merge"), "artifact_id").select(
         "artifact_id",
         "path",
         "value",
@@ -210,12 +212,14 @@ def unapplied_edits(profiles: DataFrame, edits: DataFrame) -> DataFrame:
 def apply_edits(profiles: DataFrame, edits: DataFrame, buckets: int | None = None) -> DataFrame:
     """Edited profiles; the profiles given stay as they are.
 
-    For profiles stored in `buckets` by artifact the collected edits are dealt alike, so that
-    the profiles need no exchange.
+    For profiles stored in `buckets` by artifact the log is dealt alike before it is reduced, so
+    that the profiles need no exchange.
 
     Collected per artifact are edits that name a place in its profile, one each, pending
     rules it has, and edits of items of its lists of text, one for each item named.
     """
+    if buckets is not None:
+        edits = edits.repartition(buckets, "artifact_id")
     found = (
         addressed(profiles, edits)
         .where(F.col("applies") | F.col("grows").isNotNull() | F.col("settled_rule").isNotNull())
